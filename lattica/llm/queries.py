@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, token_counts, token_files
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op8_token_files": token_files.op8_token_files,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
