@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, token_counts, token_files
+from . import exact_dedup, mixing, packing, token_counts, token_files, topk, toxicity
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_files": token_files.op8_token_files,
+    "op9_topk": topk.op9_topk,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op9_topk": topk.ORACLE,
 }
