@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, packing, token_counts, token_files, topk, toxicity
+from . import exact_dedup, mixing, near_dedup, packing, repeats, token_counts, token_files, topk, toxicity
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_repeats": repeats.op5_repeats,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_files": token_files.op8_token_files,

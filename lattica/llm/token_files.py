@@ -1,7 +1,7 @@
 """Token ids in files: fixed-width bit packing in blocks.
 
-File format: Parquet rows (part, block, doc_ids, firsts, n_ids, bits, payload), in the order of (part, block). A block holds some
-documents in ascending doc_id order. firsts[k] is where the ids of document k begin in the block; id i takes the bits
+File format: Parquet rows (part, block, before, doc_ids, firsts, n_ids, bits, payload), in the order of (part, block). A block holds some
+documents in ascending doc_id order; `before` ids of its part come before it. firsts[k] is where the ids of document k begin in the block; id i takes the bits
 [i * bits, (i + 1) * bits) of payload, least significant bit first. `bits` is the least width that holds every id of the vocabulary.
 """
 
@@ -11,12 +11,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
-SCHEMA = "part int, block int, doc_ids array<long>, firsts array<long>, n_ids long, bits int, payload binary"
+SCHEMA = "part int, block int, before long, doc_ids array<long>, firsts array<long>, n_ids long, bits int, payload binary"
 
 
 def width(vocabulary: int) -> int:
@@ -52,11 +52,11 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, cuts: str, end_id: int,
         enc = tokens.encoder(tokenizer, cuts)
         bits = width(max(enc.tokenizer.get_vocab_size(), end_id + 1))
         end = np.array([end_id], "<u4")
-        part, block, held, names, firsts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("bits", pa.int32()), ("payload", pa.binary())])
+        part, block, before, held, names, firsts, size = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("bits", pa.int32()), ("payload", pa.binary())])
 
         def row():
-            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc_ids": names, "firsts": firsts, "n_ids": size, "bits": bits, "payload": pack(np.concatenate(held), bits)}], schema)
+            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "before": before, "doc_ids": names, "firsts": firsts, "n_ids": size, "bits": bits, "payload": pack(np.concatenate(held), bits)}], schema)
 
         for batch in batches:
             for some in tokens.slices(batch):
@@ -67,7 +67,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, cuts: str, end_id: int,
                     size += len(ids) + 1
                     if size >= block_ids:
                         yield row()
-                        block, held, names, firsts, size = block + 1, [], [], [], 0
+                        block, before, held, names, firsts, size = block + 1, before + size, [], [], [], 0
         if names:
             yield row()
 
@@ -75,8 +75,12 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, cuts: str, end_id: int,
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks of a written folder with `start`: ids in all blocks before."""
-    return common.running_sum(spark.read.schema(SCHEMA).parquet(path), [], "part", [F.col("block")], F.col("n_ids"), "start")
+    """The blocks of a written folder with `start`: ids in all blocks before. Broadcast is one row for each part: of a number set at writing."""
+    files = spark.read.schema(SCHEMA).parquet(path)
+    parts = files.groupBy("part").agg(F.sum("n_ids").cast("long").alias("ids"))
+    up = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("ids").over(up), F.lit(0)).cast("long").alias("first"))
+    return files.join(F.broadcast(parts), "part").withColumn("start", F.col("first") + F.col("before"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -15,13 +15,15 @@ import numpy as np
 
 #: Unicode's White_Space, as the tokenizers' patterns read \s.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Letters and, after them, marks between which every pattern cuts (no apostrophe: it may belong to a contraction).
+LETTERS, MARKS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "!-&(-/:-@\\[-`{-~"
 CUTS = {
     # byte-level BPE: a space goes with the word after it; white space before " word" stands alone; other white space is left with its word
-    "byte": re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?= [^{SPACE}])|\\n(?=[^{SPACE}])|[{SPACE}]+[^{SPACE}]+|[{SPACE}]+"),
+    "byte": re.compile(f" ?[{LETTERS}]+(?=[{MARKS}{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+(?= [^{SPACE}])|\\n(?=[^{SPACE}])|[{SPACE}]+[^{SPACE}]+|[{SPACE}]+"),
     # BPE with word ends, which drops white space
-    "word": re.compile(f"[^{SPACE}]+"),
+    "word": re.compile(f"[{LETTERS}]+(?=[{MARKS}{SPACE}])|[^{SPACE}]+"),
 }
-HELD = 150_000
+HELD = 200_000
 _ENCODERS: dict = {}
 
 
@@ -42,24 +44,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(place(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cuts = CUTS[cuts]
-        self.ids: dict[str, bytes] = {}
-        self.spans: dict[str, tuple[bytes, bytes]] = {}
+        self.ids: list[dict[str, bytes]] = [{}, {}]  # this generation and the one before
+        self.spans: list[dict[str, tuple[bytes, bytes]]] = [{}, {}]
 
-    def _hold(self, held: dict, rows: list[list[str]], make) -> None:
+    def _hold(self, held: list[dict], rows: list[list[str]], make) -> dict:
+        """What `make` gives for every piece of the rows. Pieces that were in use in neither of two generations are made anew."""
         pieces = set().union(*rows)
-        new = pieces - held.keys()
-        if len(held) + len(new) > HELD:
-            held.clear()
+        new = pieces - held[0].keys()
+        if len(held[0]) + len(new) > HELD:
+            held[:] = [{}, held[0]]
             new = pieces
-        new = list(new)
-        held.update(zip(new, make(new), strict=True))
+        again = new & held[1].keys()
+        held[0].update((p, held[1][p]) for p in again)
+        new = list(new - again)
+        held[0].update(zip(new, make(new), strict=True))
+        return held[0]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text (null: none), as 32-bit integers."""
         rows = [self.cuts.findall(t) if t else [] for t in texts]
         make = lambda new: [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self._hold(self.ids, rows, make)
-        get = self.ids.__getitem__
+        get = self._hold(self.ids, rows, make).__getitem__
         return [np.frombuffer(b"".join(map(get, r)), "<u4") for r in rows]
 
     def starts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +76,8 @@ class Encoder:
             for e in self.tokenizer.encode_batch(new, add_special_tokens=False):
                 yield array("I", [a for a, _ in e.offsets]).tobytes(), array("I", [b for _, b in e.offsets]).tobytes()
 
-        self._hold(self.spans, [row], make)
-        got = [self.spans[p] for p in row]
+        held = self._hold(self.spans, [row], make)
+        got = [held[p] for p in row]
         a, b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (([g[0] for g in got]), ([g[1] for g in got])))
         base = np.repeat(np.array([m.start() for m in found], np.int64), [len(g[0]) // 4 for g in got])
         return a + base, b + base
