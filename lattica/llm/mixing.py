@@ -104,3 +104,16 @@ def mix(docs: DataFrame, *, slots: int = SLOTS, epochs: int = 2) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each round in which a document is taken, its text cut where the mix ends within it."""
+    takes = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("tie.hash").alias("_hash"), F.explode(F.array("first", "again")).alias("_words"), F.col("size").alias("_size"))
+    takes = takes.where("_words > 0").groupBy("_doc", "_hash", "_size").agg(F.collect_list("_words").alias("_takes"))
+    own = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["doc_id", "_key"])
+    rows = own.join(takes, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_hash"))).withColumn("_words", F.explode("_takes"))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("_words") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), ""))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_words") >= F.col("_size"), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return rows.withColumn("text", text).select(*docs.columns)
