@@ -2,5 +2,419 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.functions import dtypes, runtime
+from lattica.operators import combine, layout, select, structure
+from lattica.plans import tables as T
+from lattica.sources import store
+from lattica.streaming import push
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+LAY = """lay AS (SELECT o_orderkey AS pos, o_orderstatus, o_orderpriority AS label,
+  CAST(row_number() OVER (ORDER BY o_orderpriority <> '3-MEDIUM', o_orderpriority, o_orderkey) - 1 AS BIGINT) AS row_id,
+  CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'reference' ELSE 'group' END AS role FROM orders)"""
+ENT = "ent AS (SELECT l_orderkey AS pos, l_partkey AS col_id, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY 1, 2)"
+MAT = f"{LAY}, {ENT}, x AS (SELECT row_id, col_id, value FROM ent JOIN lay USING (pos))"
+SPANS = """spans AS (SELECT CAST(row_number() OVER (ORDER BY min(row_id)) - 1 AS BIGINT) AS ord, label, min(row_id) AS start,
+  max(row_id) + 1 AS stop, role FROM lay GROUP BY label, role)"""
+NNZ = "nnz AS (SELECT lay.row_id, lay.label, count(ent.col_id) AS nnz FROM lay LEFT JOIN ent USING (pos) GROUP BY 1, 2)"
+#: What the packing queries aim at: a share of all entries' bytes, four bytes each.
+PACK = f"""{LAY}, {ENT}, {SPANS}, {NNZ},
+  g AS (SELECT ord, label, role, CAST(sum(nnz) * 4 AS BIGINT) AS bytes FROM nnz JOIN spans USING (label) GROUP BY 1, 2, 3),
+  target AS (SELECT CAST(sum(bytes) // 3 AS BIGINT) AS t FROM g),
+  fold AS (SELECT ord, label, role, bytes, bytes AS cur, CAST(0 AS BIGINT) AS shard FROM g WHERE ord = 0
+    UNION ALL SELECT g.ord, g.label, g.role, g.bytes,
+      CASE WHEN g.role <> 'reference' AND (f.role = 'reference' OR f.cur + g.bytes > t) THEN g.bytes ELSE f.cur + g.bytes END,
+      f.shard + CASE WHEN g.role <> 'reference' AND (f.role = 'reference' OR f.cur + g.bytes > t) THEN 1 ELSE 0 END
+    FROM fold f JOIN g ON g.ord = f.ord + 1, target),
+  bounds AS (SELECT shard, min(start) AS row_start, max(stop) AS row_stop FROM fold JOIN spans USING (label) GROUP BY shard)"""
+REQUEST = [7, 3, 3, 140, 0, 99, 7]
+VALUES = ", ".join(f"({i}, {r})" for i, r in enumerate(REQUEST))
+REQ = f"req AS (SELECT CAST(a AS BIGINT) AS pos, CAST(b AS BIGINT) AS row_id FROM (VALUES {VALUES}) v(a, b))"
+
+
+def query(oracle: str | None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def rec(body: str, tail: str) -> str:
+    return f"WITH RECURSIVE {body} {tail}"
+
+
+# --- layout
+
+@query(f"WITH {LAY} SELECT row_id, pos AS o_orderkey, label, role FROM lay")
+def layout_grouped(spark: SparkSession, d: str) -> DataFrame:
+    return T.order(spark, d).select("row_id", "o_orderkey", "label", "role")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderpriority <> '3-MEDIUM', o_orderpriority, CAST(o_orderkey AS VARCHAR), o_orderkey) - 1 AS BIGINT) AS row_id, o_orderkey FROM orders")
+def layout_alphabetical(spark: SparkSession, d: str) -> DataFrame:
+    obs = T.obs(spark, d).withColumn("key", F.col("o_orderkey"))
+    return layout.storage_order(obs, label="o_orderpriority", position="o_orderkey", reference=T.REFERENCE, secondary=["key"], sort_order="alphabetical").select("row_id", "o_orderkey")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderpriority <> '3-MEDIUM', o_orderpriority, o_orderstatus, o_orderkey) - 1 AS BIGINT) AS row_id, o_orderkey FROM orders")
+def layout_multikey(spark: SparkSession, d: str) -> DataFrame:
+    return T.order(spark, d, secondary=["o_orderstatus"]).select("row_id", "o_orderkey")
+
+
+CATEGORIES = ["5-LOW", "1-URGENT", "4-NOT SPECIFIED", "2-HIGH", "3-MEDIUM"]
+CASES = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CATEGORIES))
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY CASE o_orderpriority {CASES} END, o_orderkey) - 1 AS BIGINT) AS row_id, o_orderkey FROM orders")
+def layout_category_order(spark: SparkSession, d: str) -> DataFrame:
+    return layout.storage_order(T.obs(spark, d), label="o_orderpriority", position="o_orderkey", categories=CATEGORIES).select("row_id", "o_orderkey")
+
+
+@query("""WITH m AS (SELECT coalesce(nullif(o_orderpriority, '5-LOW'), 'nan') AS label, o_orderkey FROM orders),
+r AS (SELECT label, row_number() OVER (ORDER BY label, o_orderkey) - 1 AS id FROM m)
+SELECT label, CAST(min(id) AS BIGINT) AS start, CAST(max(id) + 1 AS BIGINT) AS stop FROM r GROUP BY label""")
+def layout_missing_label(spark: SparkSession, d: str) -> DataFrame:
+    obs = T.obs(spark, d).withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW")))
+    return layout.group_spans(layout.storage_order(obs, label="o_orderpriority", position="o_orderkey")).select("label", "start", "stop")
+
+
+@query("SELECT o_orderpriority AS label FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus = 'F') > 1")
+def layout_split_label_check(spark: SparkSession, d: str) -> DataFrame:
+    return structure.split_labels(T.obs(spark, d), "o_orderpriority", F.col("o_orderstatus") == "F")
+
+
+@query("SELECT bool_or(nullif(o_orderpriority, '5-LOW') IS NULL) AND coalesce(bool_or(nullif(o_orderpriority, '5-LOW') = 'nan'), false) AS collision FROM orders")
+def layout_nan_collision_check(spark: SparkSession, d: str) -> DataFrame:
+    return structure.missing_beside_text(T.obs(spark, d).withColumn("label", F.nullif("o_orderpriority", F.lit("5-LOW"))), "label")
+
+
+@query(f"WITH {LAY}, {SPANS} SELECT ord, label, start, stop, role FROM spans")
+def group_spans(spark: SparkSession, d: str) -> DataFrame:
+    return layout.group_spans(T.order(spark, d))
+
+
+@query(f"WITH {LAY}, {SPANS} SELECT label FROM spans")
+def group_labels(spark: SparkSession, d: str) -> DataFrame:
+    return layout.group_spans(T.order(spark, d)).select("label")
+
+
+@query(f"WITH {LAY}, {SPANS} SELECT max(stop) AS n FROM spans WHERE role = 'reference'")
+def reference_row_count(spark: SparkSession, d: str) -> DataFrame:
+    return select.reference_count(layout.group_spans(T.order(spark, d)))
+
+
+# --- selection
+
+@query(f"WITH {MAT}, {SPANS} SELECT x.* FROM x, spans WHERE label = '5-LOW' AND row_id >= start AND row_id < stop")
+def read_group(spark: SparkSession, d: str) -> DataFrame:
+    placed = T.order(spark, d)
+    return select.read_group(T.matrix(spark, d, placed), layout.group_spans(placed), "5-LOW")
+
+
+@query(f"WITH {MAT}, {SPANS} SELECT x.* FROM x, spans WHERE role = 'reference' AND row_id < stop")
+def read_reference(spark: SparkSession, d: str) -> DataFrame:
+    placed = T.order(spark, d)
+    return select.read_reference(T.matrix(spark, d, placed), layout.group_spans(placed))
+
+
+@query(f"WITH {MAT}, {REQ} SELECT req.pos, row_id, col_id, value FROM req JOIN x USING (row_id)")
+def gather_rows(spark: SparkSession, d: str) -> DataFrame:
+    return select.gather(T.matrix(spark, d), select.request_table(spark, REQUEST))
+
+
+@query(f"WITH {MAT}, {REQ}, s AS (SELECT CAST(row_number() OVER (ORDER BY row_id, pos) - 1 AS BIGINT) AS pos, row_id FROM req) SELECT s.pos, row_id, col_id, value FROM s JOIN x USING (row_id)")
+def gather_rows_sorted(spark: SparkSession, d: str) -> DataFrame:
+    return select.gather(T.matrix(spark, d), select.request_table(spark, REQUEST), ordered=False)
+
+
+@query(f"WITH {MAT} SELECT x.* FROM x JOIN lay USING (row_id) WHERE o_orderstatus = 'F'")
+def gather_rows_mask(spark: SparkSession, d: str) -> DataFrame:
+    placed = T.order(spark, d)
+    return select.rows_where(T.matrix(spark, d, placed), placed, F.col("o_orderstatus") == "F")
+
+
+@query(f"WITH {MAT} SELECT * FROM x WHERE row_id >= 50 AND row_id < 125")
+def read_slice(spark: SparkSession, d: str) -> DataFrame:
+    return select.rows_between(T.matrix(spark, d), 50, 125)
+
+
+@query(f"WITH {MAT}, {REQ} SELECT req.pos, col_id, CAST(value AS FLOAT) AS value FROM req JOIN x USING (row_id)")
+def gather_rows_float32(spark: SparkSession, d: str) -> DataFrame:
+    return select.gather(T.matrix(spark, d), select.request_table(spark, REQUEST)).select("pos", "col_id", F.col("value").cast("float").alias("value"))
+
+
+@query(f"WITH {LAY}, {REQ} SELECT req.pos, row_id, label, o_orderstatus FROM req JOIN lay USING (row_id)")
+def gather_rows_adata_obs(spark: SparkSession, d: str) -> DataFrame:
+    return select.annotate(select.request_table(spark, REQUEST), T.order(spark, d), ["label", "o_orderstatus"])
+
+
+#: Rows of orders of one customer are neighbours, in the order of their keys.
+EDGES = f"""{LAY}, e AS (SELECT * FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NOT NULL),
+edges AS (SELECT s.row_id AS src, t.row_id AS dst, b - a AS weight FROM e JOIN lay s ON s.pos = a JOIN lay t ON t.pos = b)"""
+
+
+def edges(spark: SparkSession, d: str, placed: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    o = T.read(spark, d, "orders", "o_orderkey", "o_custkey")
+    e = o.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("b")).where("b is not null")
+    s, t = (placed.select(F.col("o_orderkey").alias(k), F.col("row_id").alias(n)) for k, n in (("a", "src"), ("b", "dst")))
+    return e.join(s, "a").join(t, "b").select("src", "dst", (F.col("b") - F.col("a")).alias("weight"))
+
+
+@query(f"WITH {EDGES}, req AS (SELECT row_id AS pos, row_id FROM lay WHERE role = 'reference') SELECT a.pos AS src_pos, b.pos AS dst_pos, weight FROM edges JOIN req a ON a.row_id = src JOIN req b ON b.row_id = dst")
+def subgraph(spark: SparkSession, d: str) -> DataFrame:
+    placed = T.order(spark, d)
+    return select.subgraph(edges(spark, d, placed), placed.where("role = 'reference'").select(F.col("row_id").alias("pos"), "row_id"))
+
+
+# --- structure
+
+@query(f"WITH {LAY}, {ENT}, {NNZ} SELECT row_id, nnz FROM nnz")
+def row_nnz(spark: SparkSession, d: str) -> DataFrame:
+    placed = T.order(spark, d)
+    return structure.row_nnz(T.matrix(spark, d, placed), placed)
+
+
+@query(f"WITH {LAY}, {ENT}, {NNZ} SELECT row_id, CAST(coalesce(sum(nnz) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS indptr FROM nnz")
+def indptr(spark: SparkSession, d: str) -> DataFrame:
+    return structure.indptr(row_nnz(spark, d))
+
+
+@query(f"WITH {MAT} SELECT row_id, CAST(row_number() OVER w - 1 AS BIGINT) AS k, CAST(col_id - coalesce(lag(col_id) OVER w, 0) AS BIGINT) AS gap FROM x WINDOW w AS (PARTITION BY row_id ORDER BY col_id)")
+def delta_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return structure.delta_gaps(T.matrix(spark, d))
+
+
+@query(f"WITH {MAT}, c AS (SELECT row_id, list(CAST(col_id AS VARCHAR) || ':' || CAST(value AS VARCHAR) ORDER BY col_id) AS t FROM x GROUP BY row_id) SELECT row_id, sha256(array_to_string(t, ',')) AS sha256 FROM c")
+def row_digest(spark: SparkSession, d: str) -> DataFrame:
+    return structure.row_digest(T.matrix(spark, d))
+
+
+@query("SELECT count(*) >= 0 AS ok FROM lineitem")
+def verify_payload(spark: SparkSession, d: str) -> DataFrame:
+    x = T.matrix(spark, d)
+    return structure.verify(x, runtime.saved(structure.row_digest(x)))
+
+
+# --- packing
+
+def packed(spark: SparkSession, d: str):
+    placed = T.order(spark, d)
+    spans = runtime.saved(layout.group_spans(placed))
+    nnz = structure.row_nnz(T.matrix(spark, d, placed), placed).join(placed.select("row_id", "label"), "row_id")
+    groups = runtime.saved(layout.group_bytes(spans, nnz, 4))
+    target = groups.agg(F.sum("bytes")).first()[0] // 3
+    return placed, spans, layout.pack_shards(groups, target=target)
+
+
+@query(rec(PACK, "SELECT label, shard FROM fold"))
+def pack_shards(spark: SparkSession, d: str) -> DataFrame:
+    return packed(spark, d)[2].select("label", "shard")
+
+
+@query(rec(PACK, "SELECT row_id, shard FROM lay JOIN bounds ON row_id >= row_start AND row_id < row_stop"))
+def shard_map(spark: SparkSession, d: str) -> DataFrame:
+    placed, spans, shards = packed(spark, d)
+    return layout.shard_of_rows(placed.select("row_id"), layout.shard_bounds(shards, spans))
+
+
+@query(rec(PACK, "SELECT shard FROM bounds WHERE row_start < 100 AND row_stop > 40"))
+def shards_for_range(spark: SparkSession, d: str) -> DataFrame:
+    _, spans, shards = packed(spark, d)
+    return layout.shards_of_range(layout.shard_bounds(shards, spans), 40, 100)
+
+
+@query(rec(PACK, "SELECT shard, label, start - min(start) OVER (PARTITION BY shard) AS lo, stop - min(start) OVER (PARTITION BY shard) AS hi FROM fold JOIN spans USING (label) WHERE spans.role <> 'reference'"))
+def iter_group_shards(spark: SparkSession, d: str) -> DataFrame:
+    _, spans, shards = packed(spark, d)
+    return layout.local_slices(shards, spans)
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM orders), k AS (SELECT unnest(range(7)) AS shard)
+SELECT shard, CAST(round_even(shard * n / 7.0::DOUBLE, 0) AS BIGINT) AS row_start, CAST(round_even((shard + 1) * n / 7.0::DOUBLE, 0) AS BIGINT) AS row_stop FROM n, k""")
+def split_even_shards(spark: SparkSession, d: str) -> DataFrame:
+    return layout.split_even(T.obs(spark, d).agg(F.count(F.lit(1)).alias("n")), 7)
+
+
+@query(f"""WITH {LAY}, {ENT}, {NNZ}, p AS (SELECT row_id, coalesce(sum(nnz) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS indptr FROM nnz),
+b AS (SELECT indptr // 1000 AS b, min(row_id) AS lo, max(row_id) + 1 AS hi FROM p GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY lo) - 1 AS BIGINT) AS block, lo, hi FROM b""")
+def plan_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return structure.blocks(indptr(spark, d), most=1000)
+
+
+@query("""WITH s AS (SELECT DISTINCT p_partkey // 10 AS shard FROM part WHERE p_partkey // 10 % 7 <> 3), r AS (SELECT shard, shard - row_number() OVER (ORDER BY shard) AS run FROM s),
+c AS (SELECT shard, run, (row_number() OVER (PARTITION BY run ORDER BY shard) - 1) // 4 AS chunk FROM r) SELECT CAST(dense_rank() OVER (ORDER BY run, chunk) - 1 AS BIGINT) AS batch, shard FROM c""")
+def form_batches(spark: SparkSession, d: str) -> DataFrame:
+    shards = T.read(spark, d, "part", "p_partkey").select(F.floor(F.col("p_partkey") / 10).alias("shard")).where(F.col("shard") % 7 != 3).distinct()
+    return layout.batches(shards, 4)
+
+
+# --- types and checks
+
+def narrow(hi: str) -> str:
+    return f"CASE WHEN {hi} <= 255 THEN 'uint8' WHEN {hi} <= 65535 THEN 'uint16' WHEN {hi} <= 4294967295 THEN 'uint32' END"
+
+
+STATS = "s AS (SELECT min(v) AS lo, max(v) AS hi, bool_and(v = floor(v)) AS whole FROM (SELECT l_quantity AS v, 'quantity' AS matrix FROM lineitem UNION ALL SELECT l_extendedprice, 'price' FROM lineitem) GROUP BY matrix)"
+
+
+def both(spark: SparkSession, d: str, make) -> DataFrame:
+    x = T.read(spark, d, "lineitem", "l_quantity", "l_extendedprice")
+    a, b = (make(dtypes.value_stats(x, c)) for c in ("l_quantity", "l_extendedprice"))
+    return a.unionByName(b)
+
+
+@query(f"WITH {STATS} SELECT CASE WHEN whole AND lo >= 0 THEN {narrow('hi')} END AS min_dtype FROM s")
+def min_dtype(spark: SparkSession, d: str) -> DataFrame:
+    return both(spark, d, dtypes.min_dtype)
+
+
+@query(f"WITH {STATS} SELECT CASE WHEN whole AND lo >= 0 AND hi <= 4294967295 THEN 'integer' ELSE 'float' END AS codec, CASE WHEN whole AND lo >= 0 AND hi <= 4294967295 THEN 'uint32' ELSE 'float32' END AS value_dtype FROM s")
+def codec_plan(spark: SparkSession, d: str) -> DataFrame:
+    return both(spark, d, dtypes.codec_plan)
+
+
+@query(f"WITH {STATS}, n AS (SELECT count(*) AS n FROM part) SELECT CASE WHEN whole AND lo >= 0 AND hi <= 65535 THEN 'uint16' WHEN whole AND lo >= 0 AND hi <= 4294967295 THEN 'uint32' ELSE 'float32' END AS data_dtype, CASE WHEN n - 1 <= 65535 THEN 'uint16' ELSE 'uint32' END AS index_dtype FROM s, n")
+def storage_dtypes(spark: SparkSession, d: str) -> DataFrame:
+    n = T.read(spark, d, "part", "p_partkey").count()
+    return both(spark, d, lambda s: dtypes.storage_dtypes(s, n))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS violations FROM lineitem WHERE l_extendedprice <> floor(l_extendedprice)")
+def lossless_cast_check(spark: SparkSession, d: str) -> DataFrame:
+    x = T.read(spark, d, "lineitem", "l_extendedprice")
+    return x.agg(F.count_if(dtypes.lossy(F.col("l_extendedprice"), "uint32")).alias("violations"))
+
+
+@query("SELECT l_orderkey AS row_id, l_partkey AS col_id FROM lineitem WHERE l_partkey < 0 OR l_partkey >= 150")
+def bounds_check(spark: SparkSession, d: str) -> DataFrame:
+    x = T.read(spark, d, "lineitem", "l_orderkey", "l_partkey").toDF("row_id", "col_id")
+    return structure.out_of_bounds(x, 150)
+
+
+@query("SELECT l_orderkey AS row_id, l_partkey AS col_id, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_check(spark: SparkSession, d: str) -> DataFrame:
+    return structure.repeated_entries(T.read(spark, d, "lineitem", "l_orderkey", "l_partkey").toDF("row_id", "col_id"))
+
+
+@query(f"WITH {LAY}, {SPANS}, cut AS (SELECT * FROM spans WHERE label <> '2-HIGH'), s AS (SELECT *, coalesce(lag(stop) OVER (ORDER BY start), 0) AS due, lead(start) OVER (ORDER BY start) IS NULL AS z FROM cut) SELECT label FROM s, (SELECT count(*) AS n FROM orders) WHERE start <> due OR stop <= start OR (z AND stop <> n)")
+def tiling_check(spark: SparkSession, d: str) -> DataFrame:
+    spans = layout.group_spans(T.order(spark, d)).where("label <> '2-HIGH'")
+    return structure.tiling_faults(spans, F.lit(T.obs(spark, d).count()))
+
+
+@query("""WITH last AS (SELECT l_orderkey AS row_id, l_partkey AS col_id, arg_max(l_extendedprice, l_shipdate::VARCHAR || lpad(l_linenumber::VARCHAR, 4, '0') || l_extendedprice::DECIMAL(18,2)::VARCHAR) AS value FROM lineitem GROUP BY 1, 2)
+SELECT o_orderkey AS row_id, c AS col_id, coalesce(value, 0) AS value FROM orders CROSS JOIN (SELECT unnest([1, 5, 8]) AS c) LEFT JOIN last ON o_orderkey = row_id AND c = col_id""")
+def csr_to_dense(spark: SparkSession, d: str) -> DataFrame:
+    x = T.read(spark, d, "lineitem")
+    k = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.lpad(F.col("l_linenumber").cast("string"), 4, "0"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
+    x = x.select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_extendedprice").alias("value"), k.alias("k"))
+    columns = T.read(spark, d, "part", "p_partkey").where(F.col("p_partkey").isin(1, 5, 8))
+    return structure.dense_cells(x, T.obs(spark, d).select(F.col("o_orderkey").alias("row_id")), columns).select("row_id", F.col("col_id").cast("int").alias("col_id"), "value")
+
+
+@query("SELECT vec_id AS row_id, i - 1 AS col_id, embedding[i] AS value FROM (SELECT vec_id, embedding, CAST(unnest(range(1, len(embedding) + 1)) AS INTEGER) AS i FROM embeddings) WHERE embedding[i] <> 0")
+def dense_to_csr(spark: SparkSession, d: str) -> DataFrame:
+    return structure.stored_cells(T.read(spark, d, "embeddings", "vec_id", "embedding"), "embedding", "vec_id")
+
+
+# --- combination
+
+PARTS = "p AS (SELECT o_orderkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS part FROM orders), n AS (SELECT p.*, CAST(row_number() OVER (ORDER BY part, o_orderkey) - 1 AS BIGINT) AS row_id FROM p)"
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by status as three parts, each numbered on its own, then one after the other."""
+    obs = T.obs(spark, d)
+    kinds = [F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O", ~F.col("o_orderstatus").isin("F", "O")]
+    each = [runtime.numbered(obs.where(k).select("o_orderkey", "o_orderpriority"), [F.col("o_orderkey")], "row_id") for k in kinds]
+    all_ = combine.concat(each)
+    return combine.shifted(all_, combine.offsets(all_.groupBy("part").agg(F.count(F.lit(1)).alias("n"))), ["row_id"])
+
+
+@query(f"WITH {PARTS} SELECT row_id, o_orderkey, part FROM n")
+def concat(spark: SparkSession, d: str) -> DataFrame:
+    return parts(spark, d).select("row_id", "o_orderkey", "part")
+
+
+@query(f"WITH {PARTS} SELECT row_id, o_orderpriority = '3-MEDIUM' AS is_ref FROM n")
+def concat_reference(spark: SparkSession, d: str) -> DataFrame:
+    return parts(spark, d).select("row_id", F.col("o_orderpriority").isin(T.REFERENCE).alias("is_ref"))
+
+
+@query(f"WITH {EDGES}, n AS (SELECT count(*) AS n FROM orders) SELECT src, dst, weight FROM edges UNION ALL SELECT src + n, dst + n, weight FROM edges, n")
+def obsp_block_diagonal(spark: SparkSession, d: str) -> DataFrame:
+    placed = T.order(spark, d)
+    e = edges(spark, d, placed)
+    both_ = combine.concat([e, e])
+    n = placed.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("part"), "n")
+    return combine.shifted(both_, combine.offsets(n), ["src", "dst"]).select("src", "dst", "weight")
+
+
+FAMILIES = f"""{MAT}, f AS (SELECT 'x' AS family, row_id, col_id, CAST(value AS DOUBLE) AS value FROM x
+UNION ALL SELECT 'raw', l_orderkey, l_partkey, l_quantity FROM lineitem
+UNION ALL SELECT 'layer:price', l_orderkey, l_partkey, l_extendedprice FROM lineitem
+UNION ALL SELECT 'modality:supplier', l_orderkey, l_suppkey, CAST(count(*) AS DOUBLE) FROM lineitem GROUP BY 2, 3)"""
+
+
+def families(spark: SparkSession, d: str) -> DataFrame:
+    li = T.read(spark, d, "lineitem")
+    cell = lambda col, v: li.select(F.col("l_orderkey").alias("row_id"), F.col(col).alias("col_id"), v.alias("value"))
+    supplier = li.groupBy(F.col("l_orderkey").alias("row_id"), F.col("l_suppkey").alias("col_id")).agg(F.count(F.lit(1)).alias("value"))
+    key = combine.family_key
+    return combine.families({key("x"): T.matrix(spark, d), key("raw"): cell("l_partkey", F.col("l_quantity")), key("layer", "price"): cell("l_partkey", F.col("l_extendedprice")), key("modality", "supplier"): supplier})
+
+
+@query(f"WITH {FAMILIES} SELECT family, row_id, col_id, value FROM f")
+def families_decompose(spark: SparkSession, d: str) -> DataFrame:
+    return families(spark, d)
+
+
+for _name, _key in (("layer_read", "layer:price"), ("raw_read", "raw"), ("modality_read", "modality:supplier")):
+    QUERIES[_name] = lambda spark, d, key=_key: combine.one_family(families(spark, d), key)
+    ORACLES[_name] = f"WITH {FAMILIES} SELECT row_id, col_id, value FROM f WHERE family = '{_key}'"
+
+
+# --- sinks and ingest
+
+def dataset(spark: SparkSession, d: str) -> store.Dataset:
+    placed = T.order(spark, d)
+    path = f"{runtime.shared_dir(spark)}/dataset-{uuid.uuid4().hex}"
+    return store.write(spark, path, {"obs": placed, "x": T.matrix(spark, d, placed)})
+
+
+@query(f"WITH {MAT} SELECT row_id, col_id, value FROM x")
+def roundtrip_write_read(spark: SparkSession, d: str) -> DataFrame:
+    return dataset(spark, d).table("x").select("row_id", "col_id", "value")
+
+
+@query(f"WITH {LAY} SELECT row_id, lower(label) AS label FROM lay")
+def update_obs(spark: SparkSession, d: str) -> DataFrame:
+    ds = dataset(spark, d)
+    ds.update("obs", ds.table("obs").withColumn("label", F.lower("label")))
+    return ds.table("obs").select("row_id", "label")
+
+
+@query(f"WITH {MAT} SELECT row_id, CAST(col_id AS INTEGER) AS col_id, CAST(value AS INTEGER) AS value FROM x")
+def reencode(spark: SparkSession, d: str) -> DataFrame:
+    ds = dataset(spark, d)
+    small = dtypes.lossless_cast(dtypes.lossless_cast(ds.table("x"), "uint16"), "int", "col_id")
+    ds.update("x", small)
+    return ds.table("x").select("row_id", "col_id", "value")
+
+
+@query("SELECT event_id // 10 AS row_id, user_id AS col_id, count(*) AS value FROM events GROUP BY 1, 2")
+def push_append_finalize(spark: SparkSession, d: str) -> DataFrame:
+    rows = push.ingest(spark, f"{d}/events.parquet", ["event_id", "user_id"]).withColumn("row", F.floor(F.col("event_id") / 10))
+    return push.finish(rows, row="row", col="user_id")
