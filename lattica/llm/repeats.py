@@ -21,7 +21,7 @@ from .shingles import U, mixed, powers
 #: The length of a repeat, of an anchor's gram, and occurrences of an anchor that one task takes at most.
 LENGTH, GRAM, TOGETHER = 100, 24, 4096
 CHUNK = 1 << 20
-SEGMENT = "anchor long, salt int, n long, doc_id long, at long, windows int, before int, bytes binary"
+SEGMENT = "anchor long, salt int, n long, doc_id long, at long, windows int, bytes binary"
 FOUND = "kind int, doc_id long, start long, stop long, length long, group_id long, c1 long, c2 long"
 
 
@@ -83,10 +83,11 @@ def intervals(lcp: list[int], least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def maximal_repeats(doc: np.ndarray, at: np.ndarray, count: np.ndarray, before: np.ndarray, data: list[bytes]):
-    """Maximal repeats among segments: (length, [(doc, position), ...]) with all occurrences; and per window (class, doc, position).
+def maximal_repeats(doc: np.ndarray, at: np.ndarray, count: np.ndarray, data: list[bytes]):
+    """Maximal repeats among segments, as (group, length, doc, position, first) with a row for each occurrence; and per window (class, doc, position).
 
-    Segment s holds the bytes of count[s] windows, of which the first begins at at[s] in its document, after the byte before[s].
+    Segment s holds the bytes of count[s] windows, of which the first begins at at[s] in its document. Groups are numbered from 0, their
+    occurrences in the order of (doc, position), and `first` marks the first of each.
     """
     size = np.array([len(x) for x in data], np.int64)
     text = np.frombuffer(b"".join(data), np.uint8)
@@ -95,39 +96,45 @@ def maximal_repeats(doc: np.ndarray, at: np.ndarray, count: np.ndarray, before:
     k = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
     start = base[seg] + k
     # equal windows, by 128 bits; the order is found among one window of each class
-    code = np.empty(len(start), [("a", "<u8"), ("b", "<u8")])
-    code["a"], code["b"] = grams(text, LENGTH)[start], grams(text, LENGTH, 1)[start]
-    _, sample, cls = np.unique(code, return_index=True, return_inverse=True)
-    rank = ranked(np.lib.stride_tricks.sliding_window_view(text, LENGTH)[start[sample]])[cls.ravel()]
+    a, b = grams(text, LENGTH)[start], grams(text, LENGTH, 1)[start]
+    _, sample, cls = np.unique(a, return_index=True, return_inverse=True)
+    if (b != b[sample][cls]).any():
+        _, sample, cls = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True, return_inverse=True)
+        cls = cls.ravel()
+    rank = ranked(np.lib.stride_tricks.sliding_window_view(text, LENGTH)[start[sample]])[cls]
     d, p = doc[seg], at[seg] + k
     left = np.where(k > 0, text[start - 1].astype(np.int64), -2)  # at a segment's edge the window before is elsewhere: as if it differed
-    order = np.lexsort((p, d, rank))
-    r = rank[order]
-    edge = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-    stop = np.append(edge[1:], len(r))
-    l = left[order]
-    lo, hi = np.minimum.reduceat(l, edge), np.maximum.reduceat(l, edge)
-    wanted = (stop - edge > 1) & ((lo != hi) | (lo == -2))
-    out = []
-    for a, z in zip(edge[wanted], stop[wanted], strict=True):
-        members = order[a:z]
-        # common prefixes of neighbours beyond LENGTH: as long as the windows that follow are equal too; then order by them
-        room = count[seg[members]] - k[members]
-        depth = int(room.max())
-        follow = np.full((len(members), depth), -1, np.int64)
-        for t in range(depth):
-            has = room > t
-            follow[has, t] = rank[members[has] + t]
-        by = np.lexsort(follow.T[::-1])
-        members, follow = members[by], follow[by]
-        same = (follow[1:] == follow[:-1]) & (follow[1:] >= 0)
-        lcp = [0, *(LENGTH - 1 + np.where(same.all(axis=1), depth, np.argmin(same, axis=1))).tolist()]
-        for length, i, j in intervals(lcp, LENGTH):
-            some = members[i : j + 1]
-            sides = left[some]
-            if (sides != sides[0]).any() or sides[0] == -2:
-                out.append((length, sorted(zip(d[some].tolist(), p[some].tolist(), strict=True))))
-    return out, (code, d, p)
+    # windows whose class repeats with different left neighbours; no part of another class can be a maximal repeat
+    times = np.bincount(rank)
+    low, high = np.full(len(times), 1 << 10), np.full(len(times), -3)
+    np.minimum.at(low, rank, left)
+    np.maximum.at(high, rank, left)
+    wanted = np.flatnonzero(((times > 1) & ((low != high) | (low == -2)))[rank])
+    none = np.zeros(0, np.int64)
+    if not len(wanted):
+        return (none, none, none, none, none.astype(bool)), (a, b, d, p)
+    # common prefixes beyond LENGTH last as long as the windows that follow are equal too
+    room = count[seg[wanted]] - k[wanted]
+    follow = np.full((len(wanted), int(room.max())), -1, np.int32)
+    for t in range(follow.shape[1]):
+        has = room > t
+        follow[has, t] = rank[wanted[has] + t]
+    by = np.lexsort(follow.T[::-1])
+    order, follow = wanted[by], follow[by]
+    same = (follow[1:] == follow[:-1]) & (follow[1:] >= 0)
+    equal = np.where(same.all(axis=1), same.shape[1], np.argmin(same, axis=1))
+    lcp = np.append(0, np.where(equal > 0, LENGTH - 1 + equal, 0))
+    found = np.array(intervals(lcp.tolist(), LENGTH), np.int64).reshape(-1, 3)
+    sides = left[order]
+    changes = np.cumsum(np.append(0, sides[1:] != sides[:-1]))
+    found = found[(changes[found[:, 2]] > changes[found[:, 1]]) | (sides[found[:, 1]] == -2)]
+    members = found[:, 2] - found[:, 1] + 1
+    group = np.repeat(np.arange(len(found)), members)
+    which = order[np.arange(len(group)) - np.repeat(np.cumsum(members) - members, members) + np.repeat(found[:, 1], members)]
+    by = np.lexsort((p[which], d[which], group))
+    which = which[by]
+    first = np.append(True, group[1:] != group[:-1]) if len(group) else none.astype(bool)
+    return (group, np.repeat(found[:, 0], members), d[which], p[which], first), (a, b, d, p)
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
@@ -154,7 +161,7 @@ def segments(texts: DataFrame) -> DataFrame:
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("windows", pa.int32()), ("before", pa.int32()), ("bytes", pa.binary())])
+        schema = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
         for batch in batches:
             for r in range(0, batch.num_rows, 128):
                 part, rows = batch.slice(r, 128), []
@@ -166,7 +173,7 @@ def segments(texts: DataFrame) -> DataFrame:
                         if n:
                             parts = -(-n // TOGETHER)
                             salt = int(mixed(np.array([doc], np.int64).view(U))[0]) % parts
-                            rows.append((h - (1 << 64) if h >> 63 else h, salt, n, doc, first, last - first + 1, raw[first - 1] if first else -1, raw[first : last + LENGTH]))
+                            rows.append((h - (1 << 64) if h >> 63 else h, salt, n, doc, first, last - first + 1, raw[first : last + LENGTH]))
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -186,31 +193,26 @@ def repeat_groups(cut: DataFrame, most_bytes: int = 1 << 22) -> DataFrame:
         kinds = [pa.int32(), *[pa.int64()] * 7]
         number = TaskContext.get().partitionId() << 40
 
-        def table(rows):
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        def table(kind, doc, start, length, group=None, c1=None, c2=None):
+            cols = [np.asarray(kind, np.int32), doc, start, start + length, length, group, c1, c2]
+            return pa.record_batch([pa.nulls(len(doc), t) if c is None else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         def solve(held):
             nonlocal number
-            cols = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("doc_id", "at", "windows", "before", "n")]
+            doc, at, windows, n = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("doc_id", "at", "windows", "n")]
             data = [x for b in held for x in b.column("bytes").to_pylist()]
-            groups, (code, d, p) = maximal_repeats(cols[0], cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64), data)
-            rows = []
-            for length, places in groups:
-                rows += [(int(i == 0), doc, a, a + length, length, number, None, None) for i, (doc, a) in enumerate(places)]
-                number += 1
-                if len(rows) > 50_000:
-                    yield table(rows)
-                    rows = []
-            split = np.repeat(cols[4], cols[2]) > TOGETHER
+            (group, length, d, p, first), (a, b, wd, wp) = maximal_repeats(doc, at, windows.astype(np.int64), data)
+            if len(group):
+                yield table(first, d, p, length, group + number)
+                number += int(group[-1]) + 1
+            split = np.repeat(n, windows) > TOGETHER
             if split.any():
-                code, d, p = code[split], d[split], p[split]
-                by = np.lexsort((p, d, code["b"], code["a"]))
-                code, d, p = code[by], d[by], p[by]
-                first = np.append(True, code[1:] != code[:-1])
-                c = code[first]
-                rows += [(2, doc, a, a + LENGTH, LENGTH, None, x, y) for doc, a, x, y in zip(d[first].tolist(), p[first].tolist(), c["a"].view(np.int64).tolist(), c["b"].view(np.int64).tolist(), strict=True)]
-            if rows:
-                yield table(rows)
+                a, b, wd, wp = a[split], b[split], wd[split], wp[split]
+                by = np.lexsort((wp, wd, b, a))
+                a, b, wd, wp = a[by], b[by], wd[by], wp[by]
+                fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+                wd, wp = wd[fresh], wp[fresh]
+                yield table(np.full(len(wd), 2), wd, wp, np.full(len(wd), LENGTH), None, a[fresh].view(np.int64), b[fresh].view(np.int64))
 
         held, size, last = [], 0, None
         for batch in batches:
