@@ -3,7 +3,8 @@
 Each permutation of a document's shingles gives two values, its minimum and its maximum, so `BANDS * ROWS` values take half as many
 hash evaluations. Documents that agree on all values of a band meet in a bucket. Links are confirmed on the full shingle sets:
 first between each document and the smallest one that it meets, then, in buckets that still hold several components, between all
-members, a bounded block of them at a time. Buckets beyond that bound are first divided by a second band, then dealt out by pairs of blocks.
+members, a bounded block of them at a time. Buckets beyond that bound are put together by the families that they belong to, and a
+family is dealt out by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -172,7 +173,7 @@ def near_dedup(docs: DataFrame, *, percent: int = 85, size: int = 5) -> DataFram
     active = common.saved(buckets.groupBy("doc_id").agg(F.min("least").alias("least")))
     known = common.saved(sets(docs.select("doc_id", "text").join(active.select("doc_id"), "doc_id"), size).dropDuplicates(["doc_id"]))
     links = common.saved(confirmed(active.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")), known, percent))
-    links = common.saved(links.union(open_buckets(buckets, components(links), known, percent, classes)))
+    links = common.saved(links.union(open_buckets(buckets, components(links), known, percent)))
     found = components(links).select(F.col("node").alias("class_id"), "root")
     of_copy = classes.select("copy", "class_id").join(found, "class_id", "left").select("copy", F.coalesce("root", "class_id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "copy").join(of_copy, "copy", "left")
@@ -180,7 +181,7 @@ def near_dedup(docs: DataFrame, *, percent: int = 85, size: int = 5) -> DataFram
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def open_buckets(buckets: DataFrame, roots: DataFrame, known: DataFrame, percent: int, classes: DataFrame) -> DataFrame:
+def open_buckets(buckets: DataFrame, roots: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Links in buckets whose members the first links left in several components."""
     b = buckets.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     b = common.saved(b.select("key", "band", "doc_id", "root", "n"))
@@ -189,12 +190,12 @@ def open_buckets(buckets: DataFrame, roots: DataFrame, known: DataFrame, percent
     small, large = b.where(F.col("n") <= BLOCK), b.where(F.col("n") > BLOCK)
     if large.isEmpty():
         return in_blocks(small.select("key", "doc_id", "root", "n"), known, percent)
-    # members of a large bucket that share another band as well
-    other = large.join(classes.select(F.col("class_id").alias("doc_id"), "bands"), "doc_id").select("key", "band", "doc_id", "root", F.posexplode("bands").alias("band2", "key2"))
-    other = other.where("band2 <> band").select(F.xxhash64("key", "key2").alias("key"), "doc_id", "root")
-    sizes = other.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 1 and lo <> hi").select("key", "n")
-    members = small.select("key", "doc_id", "root", "n").union(other.join(sizes, "key").select("key", "doc_id", "root", "n"))
-    return in_blocks(members, known, percent)
+    # large buckets of one family of texts overlap: their members are compared once, in the blocks of the family
+    least = large.groupBy("key").agg(F.min("doc_id").alias("b"))
+    family = components(common.saved(large.select("key", F.col("doc_id").alias("a")).join(least, "key").where("a <> b").select("a", "b").distinct()))
+    each = large.select("doc_id", "root").distinct().join(family.select(F.col("node").alias("doc_id"), F.col("root").alias("key")), "doc_id")
+    each = each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    return in_blocks(small.select("key", "doc_id", "root", "n").union(each.select("key", "doc_id", "root", "n")), known, percent)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
