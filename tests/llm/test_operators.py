@@ -297,3 +297,23 @@ def test_toxicity(spark, empty):
 def test_pipeline_stages_are_registered():
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "mixing", "packing"]
+
+
+def test_line_prefix_pairs(spark):
+    """The prefix join loses no pair of the similarity and keeps out a family that is alike but under it."""
+    rng = np.random.default_rng(5)
+    base = rng.choice(10_000, 40, replace=False)
+    sets = {}
+    for i in range(60):  # 30 of 40 in common: similarity 0.6
+        sets[i] = {*base[:30].tolist(), *rng.integers(20_000, 1 << 40, 10).tolist()}
+    for i in range(60, 120):  # neighbours differ in a few
+        other = sets[int(rng.integers(i - 60, i))]
+        sets[i] = {*rng.permutation(sorted(other))[int(rng.integers(0, 5)) :].tolist(), *rng.integers(20_000, 1 << 40, int(rng.integers(0, 4))).tolist()}
+    sets |= {200: {1}, 201: {1}, 202: {2}}
+    df = spark.createDataFrame([(i, i, list(s)) for i, s in sets.items()], "place long, root long, shingles array<long>")
+    alike = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    pairs = line_dedup.prefix_pairs(df, 0.8)
+    got = {tuple(r) for r in pairs.collect()}
+    assert alike and alike <= got
+    assert not {p for p in got if p[0] < 60}
+    assert {tuple(r) for r in line_dedup.confirmed(pairs, df, 0.8).collect()} == alike
