@@ -89,7 +89,7 @@ def cut(docs: DataFrame, *, tokenizer: str, cuts: str, end_id: int, capacity: in
         for batch in batches:
             for some in tokens.slices(batch):
                 rows = []
-                for doc, tie, ids in zip(some.column("doc_id").to_pylist(), some.column("tie").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
+                for doc, tie, ids in zip(some.column("doc_id").to_pylist(), some.column("tie").to_pylist(), enc.encode(some.column("text")), strict=True):
                     ids = np.concatenate([ids, end])
                     for a in range(0, len(ids), capacity):
                         piece = ids[a : a + capacity].tobytes()

@@ -60,7 +60,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, cuts: str, end_id: int,
 
         for batch in batches:
             for some in tokens.slices(batch):
-                for doc, ids in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
+                for doc, ids in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text")), strict=True):
                     names.append(doc)
                     firsts.append(size)
                     held += [ids, end]

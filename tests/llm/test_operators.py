@@ -1,11 +1,13 @@
 """The operators against brute force on a small table with every odd case, and on an empty one."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +170,18 @@ def test_encoding_in_pieces_is_that_of_the_whole(name, cuts, monkeypatch):
     assert [x.tolist() for x in tokens.Encoder(name, cuts).encode(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize(("name", "cuts"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_pieces_encode_as_whole_texts_do(name, cuts):
+    enc = tokens.Encoder(name, cuts)
+    rng = random.Random(5)
+    signs = [*"abZé's.,-_<|>=1 7", " ", " ", "\n", "\t", "\r\n", "\x00", "\x1c", "\x85", "\xa0", " ", "̸", "́", "日", "'ll", "don't", "end", "<|endoftext|>"]
+    texts = [None, "", " ", "  a", "a ", "a  \n b", "a\nb\nc", *("".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(3000))]
+    want = enc.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    for part in (pa.array(texts, pa.string()), pa.array(["x", *texts], pa.string()).slice(1)):
+        assert [x.tolist() for x in enc.encode(part)] == [w.ids for w in want]
+    assert enc.encode(pa.array([], pa.string())) == []
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     t, at = tokenizer("word_bpe_49k.json"), 0
     for k, d in enumerate((docs, empty)):
