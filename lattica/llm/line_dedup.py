@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations alone.
 
-Equal lines are one to begin with. A line's shingles are the `width` characters that begin at each of its words. Each of PERMUTATIONS
+Equal lines are one to begin with. A line's shingles are the `width` characters that begin at each of its characters. Each of PERMUTATIONS
 seeded hashes of the shingles gives its minimum; lines that agree on a band of ROWS minima are candidates; candidates are confirmed by
 the exact Jaccard similarity of their shingle sets (as 64-bit hashes), and confirmed pairs are joined by a distributed union-find. Of
 each component the first line, by document and place, stays.
@@ -12,6 +12,8 @@ shingles after them. Lines of a family that are alike, but less than asked, fail
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,10 @@ BANDS, ROWS = 8, 3
 
 
 def shingle_list(line: Column, width: int = 8) -> Column:
-    """The shingles of a normalised line, with repeats."""
-    return F.regexp_extract_all(line, F.lit(rf"(?<![^ ])(?=([^ ].{{0,{width - 1}}}))"), F.lit(1))
+    """The shingles of a normalised line, with repeats: `width` characters from each of its places, or the whole of a shorter line."""
+    # a character is consumed at each match, so none begins within a surrogate pair
+    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))."), F.lit(1))
+    return F.when(F.length(line) < width, F.array(line)).otherwise(every)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -49,10 +53,12 @@ def overlapping(x: Column, y: Column, shared: Column, similarity: float) -> Colu
     return shared >= similarity * (x + y - shared)
 
 
-def confirmed(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs(a, b) whose sets in known(place, shingles) have the similarity."""
-    p = pairs.join(known.select(F.col("place").alias("a"), F.col("shingles").alias("sa")), "a").join(known.select(F.col("place").alias("b"), F.col("shingles").alias("sb")), "b")
-    return p.where(overlapping(F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb")), similarity)).select("a", "b")
+def confirmed(pairs: DataFrame, known: DataFrame, similarity: float, *, column: str = "shingles", made: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """Those of pairs(a, b) whose sets in known(place, column) have the similarity. `made` makes a set of a column that is none yet."""
+    p = pairs.join(known.select(F.col("place").alias("a"), F.col(column).alias("sa")), "a").join(known.select(F.col("place").alias("b"), F.col(column).alias("sb")), "b")
+    # bound by the lambda, each set is made once
+    both = F.array(F.struct(made(F.col("sa")).alias("x"), made(F.col("sb")).alias("y")))
+    return p.where(F.exists(both, lambda s: overlapping(F.size(s["x"]), F.size(s["y"]), F.size(F.array_intersect(s["x"], s["y"])), similarity))).select("a", "b")
 
 
 def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
@@ -86,17 +92,21 @@ def near_links(every: DataFrame, single: DataFrame, similarity: float, width: in
     met = common.saved(rows.groupBy("key").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     buckets = common.saved(rows.join(met, "key").select("key", "place", "least"))
     active = every.select("place", "norm").join(buckets.select("place").distinct(), "place")
-    shingles = F.array_distinct(F.transform(shingle_list(F.col("norm"), width), lambda x: F.xxhash64(x)))
-    known = common.saved(active.select("place", shingles.alias("shingles")).dropDuplicates(["place"]))
+    # texts are moved, not their sets, which take eight times the room
+    known = common.saved(active.dropDuplicates(["place"]))
+
+    def made(line: Column) -> Column:
+        return F.array_distinct(F.transform(shingle_list(line, width), lambda x: F.xxhash64(x)))
+
 
     stars = buckets.where("place <> least").select(F.col("place").alias("a"), F.col("least").alias("b")).distinct()
-    first = common.saved(confirmed(stars, known, similarity))
+    first = common.saved(confirmed(stars, known, similarity, column="norm", made=made))
     roots = components(first).select(F.col("node").alias("place"), "root")
     now = common.saved(buckets.join(roots, "place", "left").select("key", "place", F.coalesce("root", "place").alias("root")))
     mixed = common.saved(now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
-    open_ = now.join(mixed, "key").select("place", "root").distinct().join(known, "place")
+    open_ = now.join(mixed, "key").select("place", "root").distinct().join(known, "place").select("place", "root", made(F.col("norm")).alias("shingles"))
     pairs = common.saved(prefix_pairs(open_, similarity))
-    return first.union(confirmed(pairs, known, similarity))
+    return first.union(confirmed(pairs, known, similarity, column="norm", made=made))
 
 
 def line_dedup(docs: DataFrame, *, similarity: float = 0.8, width: int = 8) -> DataFrame:

@@ -331,3 +331,19 @@ def test_line_prefix_pairs(spark):
     assert alike and alike <= got
     assert not {p for p in got if p[0] < 60}
     assert {tuple(r) for r in line_dedup.confirmed(pairs, df, 0.8).collect()} == alike
+
+
+def test_line_dedup_sees_every_character(spark):
+    lines = ["https://www.alpha.org/x/one", "https://zeta.com/entirely/other", "https://zeta.com/entirely/other/", "你好世界再见朋友们今天天气很好", "你好世界再见朋友明天我们去爬山", "\U0001f600" * 9, "\U0001f601" * 9, "a\u2028bcdefghij", "a\u2028bcdefghik", "short", "shore"]
+    shingles = [{n[k : k + 8] for k in range(max(1, len(n) - 7))} for n in lines]
+    root = list(range(len(lines)))
+    for _ in lines:
+        for a in root[:]:
+            for b, s in enumerate(shingles):
+                if len(shingles[a] & s) >= 0.8 * len(shingles[a] | s):
+                    root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    got = {r["line_no"]: r["keep_line"] for r in line_dedup.line_dedup(docs).collect()}
+    assert got == dict(enumerate(root)) and sum(k != r for k, r in got.items()) == 1
+    some = spark.createDataFrame([(n,) for n in lines], "norm string").select("norm", line_dedup.shingle_list(F.col("norm")).alias("s")).collect()
+    assert [(r["norm"], set(r["s"])) for r in some] == list(zip(lines, shingles, strict=True))
