@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.llm import common, line_dedup, mixing, near_dedup, packing, toxicity
 
@@ -24,9 +25,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    gone = near_dedup.near_dedup(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the document with the smallest id (null first). Different texts are different documents, whatever their ids."""
+    own = common.row_key()
+    rows = docs.select(own.alias("_row"), "doc_id").distinct()
+    found = near_dedup.near_dedup(docs.select(own.alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    each = common.saved(found.join(rows, "_row"))
+    stays = each.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_stays"))
+    gone = each.join(stays, "component_id").where("_row <> _stays").select("_row")
+    return docs.withColumn("_row", own).join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def row_key() -> Column:
+    """64 bits that tell apart rows without a doc_id and rows that repeat one with different texts. Equal rows have one."""
+    return F.xxhash64("doc_id", "text")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

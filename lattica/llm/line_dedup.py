@@ -31,16 +31,14 @@ def shingle_list(line: Column, width: int = 8) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """place (orders lines by doc_id and line_no), doc_id, line_no, norm: the lines that hold more than white space."""
-    raw = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    """place (doc_id, line_no and row, in whose order lines stand), doc_id, line_no, row, norm: the lines that hold more than white space."""
+    raw = docs.select("doc_id", common.row_key().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     # most lines have single spaces only, which plain searches find sooner than the pattern
     ragged = F.contains(F.col("line"), F.lit("  "))
     for c in "\t\x0b\x0c\r":
         ragged |= F.contains(F.col("line"), F.lit(c))
     norm = F.lower(F.trim(F.when(ragged, F.regexp_replace("line", common.GAP, " ")).otherwise(F.col("line"))))
-    doc = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).cast("decimal(20,0)")
-    place = (doc * F.lit(1 << 24).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
-    return raw.select(place.alias("place"), "doc_id", "line_no", norm.alias("norm")).where("norm <> ''")
+    return raw.select(F.struct("doc_id", "line_no", "row").alias("place"), "doc_id", "line_no", "row", norm.alias("norm")).where("norm <> ''")
 
 
 def line_key(norm: Column) -> list[Column]:
@@ -109,33 +107,36 @@ def near_links(every: DataFrame, single: DataFrame, similarity: float, width: in
     return first.union(confirmed(pairs, known, similarity, column="norm", made=made))
 
 
-def line_dedup(docs: DataFrame, *, similarity: float = 0.8, width: int = 8) -> DataFrame:
-    """One row per line that holds more than white space: doc_id, line_no, keep_doc, keep_line, kept.
-
-    Lines are compared in lower case with white space runs as one space. keep_doc and keep_line name the line that stays in its
-    component: the smallest by (doc_id, line_no); a null doc_id counts as the smallest. A line shorter than `width` is its own only
-    shingle. Null and empty texts have no lines. Rows that repeat a doc_id with the same text keep the same lines. Extra columns aren't
-    read. An empty table gives no rows.
-    """
+def settled(docs: DataFrame, *, similarity: float = 0.8, width: int = 8) -> DataFrame:
+    """The rows of line_dedup() with `row`, which tells apart the texts of one doc_id."""
     every = lines(docs)
-    light = every.select("place", "doc_id", "line_no", *line_key(F.col("norm")))
+    light = every.select("place", "doc_id", "line_no", "row", *line_key(F.col("norm")))
     single = common.saved(light.groupBy("k1", "k2").agg(F.min("place").alias("place")))
     roots = components(common.saved(near_links(every, single, similarity, width)))
     stays = single.join(roots.withColumnRenamed("node", "place"), "place", "left").select("k1", "k2", F.coalesce("root", "place").alias("stay"))
     out = light.join(stays, ["k1", "k2"])
-    size = F.lit(1 << 24).cast("decimal(10,0)")
-    line = F.pmod(F.col("stay"), size).cast("int")
-    doc = ((F.col("stay") - line) / size).cast("decimal(20,0)").cast("long")
-    return out.select("doc_id", "line_no", F.when(doc > F.lit(-(1 << 63)), doc).alias("keep_doc"), line.alias("keep_line"), (F.col("stay") == F.col("place")).alias("kept"))
+    return out.select("doc_id", "line_no", "row", F.col("stay.doc_id").alias("keep_doc"), F.col("stay.line_no").alias("keep_line"), (F.col("stay") == F.col("place")).alias("kept"))
+
+
+def line_dedup(docs: DataFrame, **options) -> DataFrame:
+    """One row per line that holds more than white space: doc_id, line_no, keep_doc, keep_line, kept.
+
+    Lines are compared in lower case with white space runs as one space. keep_doc and keep_line name the line that stays in its
+    component: the smallest by (doc_id, line_no); a null doc_id counts as the smallest. A line shorter than `width` is its own only
+    shingle. Null and empty texts have no lines. Rows that repeat a doc_id with the same text keep the same lines; with different texts,
+    and without a doc_id, they are documents of their own. Extra columns aren't read. An empty table gives no rows.
+    """
+    return settled(docs, **options).drop("row")
 
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """docs without the lines that don't stay; n_chars, where there is one, follows. No document goes, though its text may end up empty."""
-    gone = line_dedup(docs, **options).where("not kept").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = settled(docs, **options).where("not kept").groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     parts = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")), "left").withColumn("text", text)
+    own = docs.withColumn("_key", common.row_key())
+    out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_row")), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

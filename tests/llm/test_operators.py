@@ -347,3 +347,18 @@ def test_line_dedup_sees_every_character(spark):
     assert got == dict(enumerate(root)) and sum(k != r for k, r in got.items()) == 1
     some = spark.createDataFrame([(n,) for n in lines], "norm string").select("norm", line_dedup.shingle_list(F.col("norm")).alias("s")).collect()
     assert [(r["norm"], set(r["s"])) for r in some] == list(zip(lines, shingles, strict=True))
+
+
+def test_rows_without_an_id_of_their_own_keep_their_lines(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    one, two, three = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    texts = [(None, "u1\nx"), (None, "x\nu2"), (7, "first\nsame line"), (7, "same line\nother"), (7, "same line\nother"), (3, "line of three\nsame line"), (None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in line_dedup.drop_repeated_lines(docs).collect())
+    # of the two null rows that hold x, the one where it is line 0 keeps it
+    assert got == Counter([(None, "u1"), (None, "x\nu2"), (7, "first"), (7, "other"), (7, "other"), (3, "line of three\nsame line"), (None, None)])
+    places = {(r["doc_id"], r["line_no"], r["keep_doc"], r["keep_line"], r["kept"]) for r in line_dedup.line_dedup(docs).where("doc_id is null").collect()}
+    assert places == {(None, 0, None, 0, True), (None, 1, None, 1, True), (None, 1, None, 0, False)}
+    docs = spark.createDataFrame([(1, one), (5, one + " more"), (5, two), (None, three), (None, three + " more"), (9, three)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["text"][:2]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == [("1", "w0"), ("5", "v0"), ("None", "u0")]
