@@ -2,7 +2,8 @@
 
 A text is first cut where no token of it can cross, at white space; the tokenizer then encodes each distinct piece once and the ids of
 a text are those of its pieces in order. The pieces' ids are held in a dictionary of bounded size. Many texts at once are cut by Arrow,
-which also finds the distinct pieces; only those are looked up.
+which also finds the distinct pieces; only those are looked up. A text that may hold the string of an added token, such as
+<|endoftext|>, is encoded as a whole, as the plain library call does it.
 """
 
 from __future__ import annotations
@@ -43,12 +44,18 @@ def place(name: str) -> str:
 
 
 class Encoder:
-    def __init__(self, name: str, cuts: str):
+    """With `added`, the added tokens' strings in a text are their ids, as by default in the library; without, they are ordinary text."""
+
+    def __init__(self, name: str, cuts: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(place(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        # in any case of letters, as some are looked for in lower-cased text
+        self.whole = "(?i)" + "|".join(map(re.escape, strings)) if strings else None
+        self.holds = re.compile(self.whole).search if strings else lambda text: None
         self.cuts, self.spaced = CUTS[cuts], cuts == "byte"
         self.ids: list[dict[str, bytes]] = [{}, {}]  # this generation and the one before
         self.spans: list[dict[str, tuple[bytes, bytes]]] = [{}, {}]
@@ -87,7 +94,8 @@ class Encoder:
         import pyarrow.compute as pc
 
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
-        lists, odd = self._cut(texts)
+        uncut = pc.match_substring_regex(texts, self.whole) if self.whole else None
+        lists, odd = self._cut(texts if uncut is None else pc.if_else(uncut, "", texts))
         edges = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
@@ -103,10 +111,15 @@ class Encoder:
             row = self.cuts.findall(texts[k].as_py())
             held = self._hold(self.ids, [row], self._encoded)
             out[k] = np.frombuffer(b"".join(held[x] for x in row), "<u4")
+        for k in np.flatnonzero(uncut.to_numpy(zero_copy_only=False)).tolist() if uncut is not None else ():
+            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
         return out
 
     def starts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First character, and the one after the last, of each token of a text, in the text's characters."""
+        if self.holds(text):
+            spans = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+            return spans[:, 0], spans[:, 1]
         found = list(self.cuts.finditer(text))
         row = [m.group() for m in found]
 
@@ -122,10 +135,10 @@ class Encoder:
 
 
 def encoder(name: str, cuts: str) -> Encoder:
-    """One for each worker process."""
+    """One for each worker process, with the library's defaults."""
     key = (name, cuts)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(name, cuts)
+        _ENCODERS[key] = Encoder(name, cuts, added=True)
     return _ENCODERS[key]
 
 

@@ -362,3 +362,38 @@ def test_rows_without_an_id_of_their_own_keep_their_lines(spark):
     docs = spark.createDataFrame([(1, one), (5, one + " more"), (5, two), (None, three), (None, three + " more"), (9, three)], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["text"][:2]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert got == [("1", "w0"), ("5", "v0"), ("None", "u0")]
+
+
+MARKED = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>\n\n y", "<|ENDOFTEXT|> don't  stop", "<|endoftext|><|endoftext|>", "a\n<|endoftext|>\nb", "< |endoftext|> plain", "plain text"]
+
+
+@pytest.mark.parametrize(("name", "cuts"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_strings_of_added_tokens_are_their_ids(name, cuts):
+    from tokenizers import Tokenizer
+
+    plain, enc, rng = Tokenizer.from_file(tokens.place(name)), tokens.encoder(name, cuts), random.Random(8)
+    signs = [*"ab .|<>", "\n", "  ", "é", "don't", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"]
+    texts = [*MARKED, None, "", *("".join(rng.choices(signs, k=rng.randrange(20))) for _ in range(2000))]
+    want = [plain.encode(t or "", add_special_tokens=False) for t in texts]
+    for part in (pa.array(texts, pa.string()), pa.array(["x", *texts], pa.string()).slice(1)):
+        assert [x.tolist() for x in enc.encode(part)] == [w.ids for w in want]
+    if cuts == "byte":
+        assert [list(zip(*(x.tolist() for x in enc.starts(t or "")), strict=True)) for t in texts] == [w.offsets for w in want]
+
+
+def test_operators_encode_as_the_plain_call(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    word, byte = (Tokenizer.from_file(tokens.place(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    docs, at = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string"), 0
+    token_files.write(docs, str(tmp_path / "0"), tokenizer="word_bpe_49k.json", cuts="word", end_id=2)
+    for r, text in zip(token_files.read(spark, str(tmp_path / "0")).orderBy("doc_id").collect(), MARKED, strict=True):
+        ids = [*word.encode(text, add_special_tokens=False).ids, 2]
+        assert (r["start"], np.frombuffer(r["ids"], "<u4").tolist()) == (at, ids)
+        at += len(ids)
+    packed = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pack(docs).collect()}
+    assert packed == {i: [*byte.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(MARKED)}
+    counts = Counter()
+    for r in token_counts.token_counts(docs).collect():
+        counts[r["doc_id"]] += r["n_tokens"]
+    assert counts == Counter({i: len(byte.encode(t, add_special_tokens=False).ids) for i, t in enumerate(MARKED)})
