@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Slots 0, 1, 2, ... get the golden-ratio points frac(i * 0.618...), which are mapped through the sources' cumulative target shares:
-each stretch of slots then holds every source in its share. The r-th slot of a source takes block r of that source, where a block is
-`block` words of the source's documents, laid end to end in a hashed order, twice over.
+each stretch of slots then holds every source in its share. A source's documents are laid end to end in a hashed order, twice over,
+and its first words, as many as its target, are cut into as many equal blocks as it has slots: its r-th slot takes block r. So a
+source meets its target to the word, whatever the points; one that no point falls to has a slot of its own.
 """
 
 from __future__ import annotations
@@ -45,8 +46,11 @@ def targets(sizes: DataFrame, *, share: float = 1.5, most: float = 2.0) -> DataF
     return s.select("source", "source_size", share_of.alias("target"))
 
 
-def schedule(goal: DataFrame, block: int, slots: int) -> DataFrame:
-    """goal(source, target) -> slot, source, block: `slots` slots in mixing order, each with the block of its source that it takes."""
+def schedule(goal: DataFrame, slots: int) -> DataFrame:
+    """goal(source, target) -> slot, source, block: slots in mixing order, each with the block of its source that it takes.
+
+    A source that none of the `slots` points falls to has one block, in the slot at its place among the shares, beside that slot's own.
+    """
     spark = goal.sparkSession
     edges = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -58,7 +62,10 @@ def schedule(goal: DataFrame, block: int, slots: int) -> DataFrame:
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") * F.lit(GOLDEN)) % F.lit(1 << 32) / F.lit(float(1 << 32))).alias("x")).withColumn("cell", F.floor(F.col("x") * parts))
     last = F.max("hi").over(everything)
     cells = cells.withColumn("hi", F.when(F.col("hi") == last, F.lit(2.0)).otherwise(F.col("hi")))
-    hit = points.join(cells, "cell").where("x >= lo and x < hi").withColumn("stretch", F.floor(F.col("slot") / 1024))
+    hit = common.saved(points.join(cells, "cell").where("x >= lo and x < hi").select("slot", "source"))
+    met = hit.select(F.col("source").alias("s")).distinct()
+    missed = shares.join(met, F.col("source").eqNullSafe(F.col("s")), "left_anti").select(F.least(F.floor((F.col("hi") - F.col("share") / 2) * slots), F.lit(slots - 1)).cast("long").alias("slot"), "source")
+    hit = hit.union(missed).withColumn("stretch", F.floor(F.col("slot") / 1024))
     return common.running_sum(hit.select("slot", "source", "stretch"), ["source"], "stretch", [F.col("slot")], F.lit(1), "block").select("slot", "source", "block")
 
 
@@ -70,50 +77,54 @@ def laid_out(sized: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, slots: int = SLOTS, epochs: int = 2) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, first, again (words taken in the first and in the second round), tie.
+    """Per document: doc_id, size, source_size, target, taken, first, again (words taken in the first and in later rounds), order, tie.
 
-    Sizes are words; a null or empty text has 0 and takes 0. Null is a source of its own, the last one. Repeated rows are documents
-    of their own, told apart by `tie`. Extra columns aren't read. An empty table gives no rows.
+    A source's taken words are its target, rounded to a word. `order` has (words, slot, block) for each round in which words of the
+    document are taken: where the first of them stands in the mix. Sizes are words; a null or empty text has 0 and takes 0. Null is a
+    source of its own, the last one. Repeated rows are documents of their own, told apart by `tie`. Extra columns aren't read. An empty
+    table gives no rows.
     """
-    spark = docs.sparkSession
     hashed = docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("hash"), word_count().alias("size"))
     repeat = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("size"))
     sized = common.saved(hashed.select("doc_id", "source", F.struct("hash", repeat.alias("repeat")).alias("tie"), "size"))
     sizes = common.saved(sized.groupBy("source").agg(F.sum("size").cast("long").alias("size")))
     goal = common.saved(targets(sizes))
     total = goal.agg(F.sum("target")).first()[0] or 0.0
-    if not total:
-        none = F.lit(0).cast("long")
-        return sized.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "tie", "size", "source_size", "target", none.alias("taken"), none.alias("first"), none.alias("again"))
-    block = max(1, round(total / slots))
-    plan = schedule(goal, block, round(total / block))
-    placed = laid_out(sized).join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # the pieces of a document: its words of each round, cut at block edges
-    rounds = placed.where("size > 0").select("doc_id", "tie", "source", "size", "source_size", "at", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("round"))
-    rounds = rounds.withColumn("from", F.col("at") + F.col("round") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
-    pieces = rounds.select("doc_id", "tie", "source", "round", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))).alias("piece"))
-    got = pieces.join(plan.select(F.col("source").alias("s"), "block"), F.col("s").eqNullSafe(F.col("source")) & (F.col("block") == F.col("piece")))
-    words = F.least("to", (F.col("piece") + 1) * block) - F.greatest("from", F.col("piece") * block)
-    taken = got.groupBy("doc_id", "tie").agg(
-        F.sum(words).cast("long").alias("taken"), F.sum(F.when(F.col("round") == 0, words).otherwise(0)).cast("long").alias("first"), F.sum(F.when(F.col("round") > 0, words).otherwise(0)).cast("long").alias("again")
-    )
+    plan = common.saved(schedule(goal, min(slots, max(1, round(total)))))
+    blocks = plan.groupBy(F.col("source").alias("b")).agg(F.count(F.lit(1)).alias("blocks"))
     none = F.lit(0).cast("long")
-    out = placed.alias("p").join(taken.alias("t"), F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.tie") == F.col("t.tie")), "left")
-    return out.select("p.doc_id", "p.source", "p.tie", "p.size", "source_size", "target", *[F.coalesce(F.col(c), none).alias(c) for c in ("taken", "first", "again")])
+    goal = goal.join(blocks, F.col("source").eqNullSafe(F.col("b")), "left").select(F.col("source").alias("s"), "source_size", "target", F.round("target").cast("long").alias("words"), F.coalesce("blocks", none).alias("blocks"))
+    out = laid_out(sized).join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rounds = []
+    for k in range(epochs):
+        start = F.col("at") + F.lit(k) * F.col("source_size")
+        words = F.greatest(F.least(start + F.col("size"), F.col("words")) - start, none)
+        # block b holds the words w with w * blocks div words = b
+        out = out.withColumn(f"words{k}", words).withColumn(f"block{k}", F.when(F.col(f"words{k}") > 0, F.call_function("div", start * F.col("blocks"), F.col("words"))))
+        slot = plan.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("slot").alias(f"slot{k}"))
+        out = out.join(slot, F.col("source").eqNullSafe(F.col("s")) & (F.col(f"block{k}") == F.col("b")), "left").drop("s", "b")
+        rounds.append(F.struct(F.col(f"words{k}").alias("words"), F.col(f"slot{k}").alias("slot"), F.col(f"block{k}").alias("block")))
+    taken = sum((F.col(f"words{k}") for k in range(1, epochs)), F.col("words0"))
+    order = F.filter(F.array(*rounds), lambda r: r["words"] > 0)
+    return out.select("doc_id", "source", "tie", "size", "source_size", "target", taken.alias("taken"), F.col("words0").alias("first"), (taken - F.col("words0")).alias("again"), order.alias("order"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each round in which a document is taken, its text cut where the mix ends within it."""
-    takes = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("tie.hash").alias("_hash"), F.explode(F.array("first", "again")).alias("_words"), F.col("size").alias("_size"))
-    takes = takes.where("_words > 0").groupBy("_doc", "_hash", "_size").agg(F.collect_list("_words").alias("_takes"))
+def mixed(docs: DataFrame, *, with_order: bool = False, **options) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each round in which a document is taken, its text cut where the mix ends within it.
+
+    Rows come sorted in the order of the mix, by the slot in which they begin; with_order adds it as `slot` and `block`.
+    """
+    takes = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("tie.hash").alias("_hash"), F.explode("order").alias("_take"), F.col("size").alias("_size"))
+    takes = takes.groupBy("_doc", "_hash", "_size").agg(F.collect_list("_take").alias("_takes"))
     own = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["doc_id", "_key"])
-    rows = own.join(takes, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_hash"))).withColumn("_words", F.explode("_takes"))
+    rows = own.join(takes, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_hash"))).withColumn("_take", F.explode("_takes")).withColumn("_words", F.col("_take.words"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col("_words") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), ""))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_words") >= F.col("_size"), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return rows.withColumn("text", text).select(*docs.columns)
+    rows = rows.withColumn("text", text).orderBy("_take.slot", "_take.block", "doc_id", "_key")
+    return rows.select(*docs.columns, *([F.col("_take.slot").alias("slot"), F.col("_take.block").alias("block")] if with_order else []))

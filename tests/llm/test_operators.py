@@ -397,3 +397,22 @@ def test_operators_encode_as_the_plain_call(spark, tmp_path):
     for r in token_counts.token_counts(docs).collect():
         counts[r["doc_id"]] += r["n_tokens"]
     assert counts == Counter({i: len(byte.encode(t, add_special_tokens=False).ids) for i, t in enumerate(MARKED)})
+
+
+def test_mixing_meets_small_targets_in_order(spark):
+    """Many small sources beside a large one, with few slots: each meets its target, and the mix's order spreads the large ones."""
+    data = [(k, f"s{k % 40:02d}", "w " * (1 + k % 3)) for k in range(400)] + [(1000 + k, "t", "v " * 50) for k in range(600)] + [(5000 + k, "u", "v " * 50) for k in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string")
+    taken, target = Counter(), {}
+    for r in mixing.mix(docs, slots=64).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] == r["first"] + r["again"] == sum(t["words"] for t in r["order"])
+    assert len(target) == 42 and all(abs(taken[s] - target[s]) <= 0.5 for s in target)
+    rows_ = mixing.mixed(docs, slots=64, with_order=True).collect()
+    assert [r["slot"] for r in rows_] == sorted(r["slot"] for r in rows_)
+    words = defaultdict(Counter)
+    for r in rows_:
+        words[r["source"]][r["slot"] // 16] += len(r["text"].split())
+    assert {s: w.total() for s, w in words.items()} == dict(taken)
+    assert all(abs(words[s][q] - target[s] / 4) <= 0.15 * target[s] for s in "tu" for q in range(4))
