@@ -132,7 +132,7 @@ def test_line_dedup(docs, empty):
             n = re.sub(GAP, " ", line).strip(" ").lower()
             if n:
                 lines[i, k] = n
-    shingles = {p: {m.group(1) for m in re.finditer(r"(?<![^ ])(?=([^ ].{0,7}))", n)} for p, n in lines.items()}
+    shingles = {p: {n[k : k + 8] for k in range(max(1, len(n) - 7))} for p, n in lines.items()}
     root = {p: p for p in lines}
     for _ in range(5):
         for a in lines:
@@ -315,22 +315,24 @@ def test_pipeline_stages_are_registered():
 
 def test_line_prefix_pairs(spark):
     """The prefix join loses no pair of the similarity and keeps out a family that is alike but under it."""
-    rng = np.random.default_rng(5)
-    base = rng.choice(10_000, 40, replace=False)
-    sets = {}
-    for i in range(60):  # 30 of 40 in common: similarity 0.6
-        sets[i] = {*base[:30].tolist(), *rng.integers(20_000, 1 << 40, 10).tolist()}
-    for i in range(60, 120):  # neighbours differ in a few
-        other = sets[int(rng.integers(i - 60, i))]
-        sets[i] = {*rng.permutation(sorted(other))[int(rng.integers(0, 5)) :].tolist(), *rng.integers(20_000, 1 << 40, int(rng.integers(0, 4))).tolist()}
-    sets |= {200: {1}, 201: {1}, 202: {2}}
-    df = spark.createDataFrame([(i, i, list(s)) for i, s in sets.items()], "place long, root long, shingles array<long>")
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    base = " ".join(word() for _ in range(30))
+    lines = {i: f"{base} {' '.join(word() for _ in range(12))}" for i in range(40)}  # 300 of 400 shingles in common: similarity 0.55
+    for i in range(40, 80):  # each a little changed from another
+        other = lines[rng.randrange(i - 40, i)].split(" ")
+        for _ in range(rng.randrange(3)):
+            other[rng.randrange(len(other))] = word()
+        lines[i] = " ".join(other)
+    lines |= {200: "short", 201: "short!", 202: "s"}
+    sets = {i: {x[k : k + 8] for k in range(max(1, len(x) - 7))} for i, x in lines.items()}
+    df = spark.createDataFrame([(i, i, x) for i, x in lines.items()], "id long, root long, norm string")
     alike = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    pairs = line_dedup.prefix_pairs(df, 0.8)
+    pairs = line_dedup.prefix_pairs(df, 0.8, 8)
     got = {tuple(r) for r in pairs.collect()}
     assert alike and alike <= got
-    assert not {p for p in got if p[0] < 60}
-    assert {tuple(r) for r in line_dedup.confirmed(pairs, df, 0.8).collect()} == alike
+    assert not {p for p in got if p[0] < 40}
+    assert {tuple(r) for r in line_dedup.confirmed(pairs, df, 0.8, 8).collect()} == alike
 
 
 def test_line_dedup_sees_every_character(spark):
@@ -345,8 +347,8 @@ def test_line_dedup_sees_every_character(spark):
     docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
     got = {r["line_no"]: r["keep_line"] for r in line_dedup.line_dedup(docs).collect()}
     assert got == dict(enumerate(root)) and sum(k != r for k, r in got.items()) == 1
-    some = spark.createDataFrame([(n,) for n in lines], "norm string").select("norm", line_dedup.shingle_list(F.col("norm")).alias("s")).collect()
-    assert [(r["norm"], set(r["s"])) for r in some] == list(zip(lines, shingles, strict=True))
+    some = spark.createDataFrame([(n,) for n in lines], "norm string").select("norm", F.size(line_dedup.shingle_set(F.col("norm"), 8)).alias("n")).collect()
+    assert [(r["norm"], r["n"]) for r in some] == [(n, len(s)) for n, s in zip(lines, shingles, strict=True)]
 
 
 def test_rows_without_an_id_of_their_own_keep_their_lines(spark):
