@@ -1,17 +1,17 @@
 """Encoding with public tokenizer files, whole texts at a time, for use inside tasks.
 
 A text is first cut where no token of it can cross, at white space; the tokenizer then encodes each distinct piece once and the ids of
-a text are those of its pieces in order. The pieces' ids are held in a dictionary of bounded size. Many texts at once are cut by Arrow,
-which also finds the distinct pieces; only those are looked up. A text that may hold the string of an added token, such as
-<|endoftext|>, is encoded as a whole, as the plain library call does it.
+a text are those of its pieces in order. The pieces' ids are held in arrays of bounded size. Many texts at once are cut by Arrow, which
+also finds the distinct pieces; only those are looked up. A text that may hold the string of an added token, such as <|endoftext|>, is
+encoded as a whole, as the plain library call does it.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -30,7 +30,10 @@ WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{
 EDGE, FEED = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~])", rf"([^{WHITE}])\n([^{WHITE}])"
 #: Texts with a space after other white space, where a byte-level pattern needn't cut, or with the sign that stands for a cut.
 ODD = rf"[{WHITE}] |\x00"
-HELD = 200_000
+#: A piece that every pattern leaves whole, so that it needs no pattern.
+PLAIN = "^ ?[A-Za-z]+$"
+#: Pieces whose ids are held.
+HELD = 1_000_000
 _ENCODERS: dict = {}
 
 
@@ -57,24 +60,65 @@ class Encoder:
         self.whole = "(?i)" + "|".join(map(re.escape, strings)) if strings else None
         self.holds = re.compile(self.whole).search if strings else lambda text: None
         self.cuts, self.spaced = CUTS[cuts], cuts == "byte"
-        self.ids: list[dict[str, bytes]] = [{}, {}]  # this generation and the one before
-        self.spans: list[dict[str, tuple[bytes, bytes]]] = [{}, {}]
-
-    def _hold(self, held: list[dict], rows: list[list[str]], make) -> dict:
-        """What `make` gives for every piece of the rows. Pieces that were in use in neither of two generations are made anew."""
-        pieces = set().union(*rows)
-        new = pieces - held[0].keys()
-        if len(held[0]) + len(new) > HELD:
-            held[:] = [{}, held[0]]
-            new = pieces
-        again = new & held[1].keys()
-        held[0].update((p, held[1][p]) for p in again)
-        new = list(new - again)
-        held[0].update(zip(new, make(new), strict=True))
-        return held[0]
-
-    def _encoded(self, new: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        self.simple = self._without_pattern(name)
+        self.values, self.ids, self.begin, self.used, self.turn = None, np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
+
+    def _without_pattern(self, name: str):
+        """The tokenizer without its pattern, for pieces of plain letters; itself where that would change their ids."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        out = Tokenizer.from_file(place(name))
+        out.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        if out.normalizer is not None:
+            out.normalizer = normalizers.Lowercase()
+        some = ["a", "The", "quick", "Zurich", "SHOUTED", "unbelievableness", *([" lazy", " Dogs"] if self.spaced else [])]
+        same = all(out.encode(x, add_special_tokens=False).ids == self.tokenizer.encode(x, add_special_tokens=False).ids for x in some)
+        return out if same else self.tokenizer
+
+    def _encoded(self, new) -> list[list[int]]:
+        """The ids of each piece of an Arrow array."""
+        import pyarrow.compute as pc
+
+        plain = pc.match_substring_regex(new, PLAIN).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(new)
+        for tokenizer, here in ((self.simple, plain), (self.tokenizer, ~plain)):
+            got = tokenizer.encode_batch_fast(new.filter(here).to_pylist(), add_special_tokens=False)
+            for k, e in zip(np.flatnonzero(here).tolist(), got, strict=True):
+                out[k] = e.ids
+        return out
+
+    def look_up(self, distinct) -> np.ndarray:
+        """Where the ids of distinct pieces (an Arrow array) are held: piece k has ids[begin[k] : begin[k + 1]]. The rest of them is encoded."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        self.turn += 1
+        if self.values is None:
+            self.values = pa.array([], pa.string())
+        at = pc.index_in(distinct, value_set=self.values)
+        if len(self.values) + at.null_count > HELD:
+            self._forget()
+            at = pc.index_in(distinct, value_set=self.values)
+        fresh = at.is_null().to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        if fresh.any():
+            new = distinct.filter(fresh)
+            got = self._encoded(new)
+            at[fresh] = len(self.values) + np.arange(len(new))
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            self.values = pa.concat_arrays([self.values, new])
+            self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(size))
+            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(got), "<u4", int(size.sum())))
+            self.used = np.append(self.used, np.zeros(len(new), np.int64))
+        self.used[at] = self.turn
+        return at
+
+    def _forget(self) -> None:
+        """Half of what may be held stays, by last use."""
+        keep = np.sort(np.argsort(self.used, kind="stable")[max(0, len(self.used) - HELD // 2) :])
+        size = np.diff(self.begin)
+        self.ids = self.ids[np.repeat(np.isin(np.arange(len(size)), keep), size)]
+        self.values, self.used, self.begin = self.values.take(keep), self.used[keep], np.append(0, np.cumsum(size[keep]))
 
     def _cut(self, texts):
         """An Arrow array of texts as lists of pieces, and which texts are left out of it."""
@@ -88,50 +132,49 @@ class Encoder:
         texts = pc.replace_substring_regex(texts, FEED, "\\1\x00\n\x00\\2")
         return pc.split_pattern(pc.replace_substring(texts, " ", "\x00 "), "\x00"), odd.to_numpy(zero_copy_only=False)
 
+    def pieces(self, texts) -> tuple[list[tuple], np.ndarray]:
+        """An Arrow array of texts without nulls as groups (rows, their edges among the pieces, distinct pieces, number of each piece), and the rows
+        that are to be encoded whole."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False) if self.whole else np.zeros(len(texts), bool)
+        lists, odd = self._cut(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        groups = [(np.flatnonzero(~odd & ~whole), lists)]
+        if odd.any():
+            groups[0] = (groups[0][0], lists.filter(pa.array(~odd & ~whole)))
+            groups.append((np.flatnonzero(odd), pa.array([self.cuts.findall(x) for x in texts.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string()))))
+        elif whole.any():
+            groups[0] = (groups[0][0], lists.filter(pa.array(~whole)))
+        out = []
+        for rows, some in groups:
+            edges = some.offsets.to_numpy().astype(np.int64)
+            coded = some.flatten().dictionary_encode()
+            out.append((rows, edges - edges[0], coded.dictionary, coded.indices.to_numpy()))
+        return out, np.flatnonzero(whole)
+
     def encode(self, texts) -> list[np.ndarray]:
         """The ids of each text of an Arrow array or a list (null: none), as 32-bit integers."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
-        uncut = pc.match_substring_regex(texts, self.whole) if self.whole else None
-        lists, odd = self._cut(texts if uncut is None else pc.if_else(uncut, "", texts))
-        edges = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        held = self._hold(self.ids, [distinct], self._encoded)
-        found = [held[x] for x in distinct]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids, begin, size = np.frombuffer(b"".join(found), "<u4"), (np.cumsum(sizes) - sizes)[code], sizes[code]
-        ends = np.append(0, np.cumsum(size))
-        laid = ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
-        ends = ends[edges - edges[0]].tolist()
-        out = [laid[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
-        for k in np.flatnonzero(odd).tolist():
-            row = self.cuts.findall(texts[k].as_py())
-            held = self._hold(self.ids, [row], self._encoded)
-            out[k] = np.frombuffer(b"".join(held[x] for x in row), "<u4")
-        for k in np.flatnonzero(uncut.to_numpy(zero_copy_only=False)).tolist() if uncut is not None else ():
+        groups, whole = self.pieces(texts)
+        out: list = [None] * len(texts)
+        for rows, edges, distinct, code in groups:
+            at = self.look_up(distinct)
+            begin, size = self.begin[at][code], (self.begin[at + 1] - self.begin[at])[code]
+            ends = np.append(0, np.cumsum(size))
+            laid = self.ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+            for k, a, z in zip(rows.tolist(), ends[edges[:-1]].tolist(), ends[edges[1:]].tolist(), strict=True):
+                out[k] = laid[a:z]
+        for k in whole.tolist():
             out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
         return out
 
-    def starts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """First character, and the one after the last, of each token of a text, in the text's characters."""
-        if self.holds(text):
-            spans = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
-            return spans[:, 0], spans[:, 1]
-        found = list(self.cuts.finditer(text))
-        row = [m.group() for m in found]
-
-        def make(new):
-            for e in self.tokenizer.encode_batch(new, add_special_tokens=False):
-                yield array("I", [a for a, _ in e.offsets]).tobytes(), array("I", [b for _, b in e.offsets]).tobytes()
-
-        held = self._hold(self.spans, [row], make)
-        got = [held[p] for p in row]
-        a, b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (([g[0] for g in got]), ([g[1] for g in got])))
-        base = np.repeat(np.array([m.start() for m in found], np.int64), [len(g[0]) // 4 for g in got])
-        return a + base, b + base
+    def spans(self, texts: list[str]) -> list[np.ndarray]:
+        """First character, and the one after the last, of each token of each text: two columns."""
+        return [np.array(e.offsets, np.int64).reshape(-1, 2) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def encoder(name: str, cuts: str) -> Encoder:
@@ -142,7 +185,7 @@ def encoder(name: str, cuts: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def slices(batch, chars: int = 4_000_000) -> Iterator:
+def slices(batch, chars: int = 8_000_000) -> Iterator:
     """An Arrow batch with a text column, in slices of about so many characters, so that memory doesn't follow the batch's size."""
     import pyarrow.compute as pc
 

@@ -146,19 +146,37 @@ def test_line_dedup(docs, empty):
     assert len(out) == len({r[0] for r in rows()}) and out[4] is None and out[2] == ""
 
 
+def sections(text):
+    return [0] + [k + 1 for k, c in enumerate(text) if c == "\n" and k + 1 < len(text)]
+
+
+def counted(text, offsets):
+    """Tokens by the section in which they begin, and those that reach beyond it."""
+    starts = sections(text)
+    ends, n, over = [*starts[1:], len(text)], [0] * len(starts), [0] * len(starts)
+    for a, z in offsets:
+        k = max(k for k, s in enumerate(starts) if s <= a)
+        n[k] += 1
+        over[k] += z > ends[k]
+    return n, over
+
+
 def test_token_counts(docs, empty):
-    t, got = tokenizer("byte_bpe_50k.json"), defaultdict(Counter)
-    for r in token_counts.token_counts(docs.dropDuplicates(["doc_id"])).collect():
-        got[r["doc_id"]][r["section"]] = r["n_tokens"]
+    t, got = tokenizer("byte_bpe_50k.json"), Counter()
+    for r in token_counts.token_counts(docs).collect():
+        got[tuple(r)] += 1
+    want = Counter()
     for i, text, *_ in rows():
         text = text or ""
-        starts = [0] + [k + 1 for k, c in enumerate(text) if c == "\n" and k + 1 < len(text)]
-        want = Counter({k: 0 for k in range(len(starts))})
-        want.update(max(k for k, s in enumerate(starts) if s <= a) for a, _ in t.encode(text, add_special_tokens=False).offsets)
-        assert got[i] == want
+        starts = sections(text)
+        n, over = counted(text, t.encode(text, add_special_tokens=False).offsets)
+        want.update((i, k, a, z, n[k], over[k]) for k, (a, z) in enumerate(zip(starts, [*starts[1:], len(text)], strict=True)))
+    assert got == want and max(want.values()) == 2  # the row that repeats is counted twice
     assert token_counts.token_counts(empty).count() == 0
-    n, crossing = token_counts.attribute("ab cd ef", np.array([0, 4]), (np.array([0, 3, 6]), np.array([2, 5, 8])))
-    assert n.tolist() == [2, 1] and crossing.tolist() == [1, 0]
+    null = docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit("a\nb").alias("text"), F.lit(1).alias("section")).limit(1)
+    assert [tuple(r)[:4] for r in token_counts.token_counts(null).orderBy("section").collect()] == [(None, 0, 0, 2), (None, 1, 2, 3)]
+    with pytest.raises(ValueError):
+        token_counts.token_counts(docs, mark="--")
 
 
 @pytest.mark.parametrize(("name", "cuts"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
@@ -167,7 +185,11 @@ def test_encoding_in_pieces_is_that_of_the_whole(name, cuts, monkeypatch):
     odd = ["a  b", " a \n b\n\nc", "x\t\ty \n", "don't stop.Now, it's\x1c.z", "é. ok", "  x　 y", "***!!! 12a3 b_c", "<|endoftext|> a", "", None]
     texts = [*odd, *(r[1] for r in rows())]
     t = tokenizer(name)
-    assert [x.tolist() for x in tokens.Encoder(name, cuts).encode(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    enc = tokens.Encoder(name, cuts)
+    for at in range(0, len(texts), 3):  # pieces are forgotten between the calls
+        assert [x.tolist() for x in enc.encode(texts[at : at + 3])] == want[at : at + 3]
+    assert [x.tolist() for x in enc.encode(texts)] == want
 
 
 @pytest.mark.parametrize(("name", "cuts"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
@@ -380,7 +402,13 @@ def test_strings_of_added_tokens_are_their_ids(name, cuts):
     for part in (pa.array(texts, pa.string()), pa.array(["x", *texts], pa.string()).slice(1)):
         assert [x.tolist() for x in enc.encode(part)] == [w.ids for w in want]
     if cuts == "byte":
-        assert [list(zip(*(x.tolist() for x in enc.starts(t or "")), strict=True)) for t in texts] == [w.offsets for w in want]
+        texts += ["a\n\n\nb\n", "\n", " x\n y\n\n  z", "é\n\n日\n<|endoftext|>\nb\n", *("".join(rng.choices(["\n", " ", "a", "日", "\t", "end", ".", "<|endoftext|>"], k=rng.randrange(30))) for _ in range(2000))]
+        part = pa.array([x or "" for x in ["cut off", *texts]], pa.string()).slice(1)
+        first, starts = token_counts.section_starts(part, 10)
+        n, over = token_counts.attributed(enc, part, "\n", first)
+        for k, x in enumerate(part.to_pylist()):
+            here = slice(first[k], first[k + 1])
+            assert (starts[here].tolist(), n[here].tolist(), over[here].tolist()) == (sections(x), *counted(x, plain.encode(x, add_special_tokens=False).offsets))
 
 
 def test_operators_encode_as_the_plain_call(spark, tmp_path):
