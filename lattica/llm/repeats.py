@@ -4,7 +4,10 @@ Where two texts share `LENGTH` bytes, those bytes hold the same anchor: the gram
 that begin in a window of `LENGTH` bytes are dealt out by the anchor of their window, so equal windows meet in one task, and only
 anchors that occur twice are looked at. Each task builds an enhanced suffix array of its suffixes (order, common prefixes, left
 neighbours), scans it with a stack for the intervals of common prefixes of LENGTH bytes or more, and keeps those whose left extensions
-differ: maximal repeats, with all their occurrences. In each, every occurrence but the first is a repeat.
+differ: maximal repeats, with all their occurrences. In each, every occurrence but the first is a repeat. Suffixes whose windows occur
+once, or always after the same byte, begin no such repeat and are left out before the sort.
+
+Documents are numbered in the order of (doc_id, text's hash), so rows that repeat a doc_id with other texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -12,17 +15,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.runtime import numbered
+
 from . import common
 from .shingles import U, mixed, powers
 
 #: The length of a repeat, of an anchor's gram, and occurrences of an anchor that one task takes at most.
 LENGTH, GRAM, TOGETHER = 100, 24, 4096
-CHUNK = 1 << 20
-SEGMENT = "anchor long, salt int, n long, doc_id long, at long, windows int, bytes binary"
-FOUND = "kind int, doc_id long, start long, stop long, length long, group_id long, c1 long, c2 long"
+CHUNK = 1 << 18
+SEGMENT = "anchor long, salt int, n long, doc long, at long, windows int, bytes binary"
+FOUND = "kind int, doc long, start long, stop long, length long, group_id long, c1 long, c2 long"
 
 
 def grams(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
@@ -35,40 +40,35 @@ def grams(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mixed((total[size:] - total[:-size]) * inverse[: len(data) - size + 1])
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, first window, last window) of each anchor: the leftmost gram of least hash in some window of LENGTH bytes."""
-    parts = []
+def anchors(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, windows) of each anchor of some texts laid end to end, edges[k] being where text k begins: the leftmost gram of
+    least hash in windows of LENGTH bytes, of which as many in a row hold it from the first on. No window crosses an edge."""
+    parts, width = [], LENGTH - GRAM + 1
+    last = edges[1:] - LENGTH  # of the windows of a text
     for at in range(0, max(0, len(data) - LENGTH + 1), CHUNK):
         h = grams(data[at : at + CHUNK + LENGTH - 1], GRAM)
-        width = LENGTH - GRAM + 1
-        key = (h & ~U(0x1FFFFF)) | np.arange(len(h), dtype=U)  # ties within a window go to the left
-        low, k = key, 1
+        low, k = (h & ~U(0x1FFFFF)) | np.arange(len(h), dtype=U), 1  # ties within a window go to the left
         while 2 * k <= width:
             low = np.minimum(low[:-k], low[k:])
             k *= 2
         if k < width:
             low = np.minimum(low[: len(low) - (width - k)], low[width - k :])
         pos = (low & U(0x1FFFFF)).astype(np.int64)
+        sound = np.zeros(len(pos) + 1, np.int64)
+        a, z = np.clip(edges[:-1] - at, 0, len(pos)), np.clip(last + 1 - at, 0, len(pos))
+        some = z > a
+        np.add.at(sound, a[some], 1)
+        np.add.at(sound, z[some], -1)
+        pos = np.where(np.cumsum(sound[:-1]) > 0, pos, -1)
         first = np.flatnonzero(np.append(True, pos[1:] != pos[:-1]))
-        last = np.append(first[1:], len(pos)) - 1
-        parts.append((h[pos[first]], pos[first] + at, first + at, last + at))
+        count = np.diff(np.append(first, len(pos)))
+        first, count = first[pos[first] >= 0], count[pos[first] >= 0]
+        parts.append((h[pos[first]], first + at, count))
     if not parts:
-        return (np.zeros(0, U), *[np.zeros(0, np.int64)] * 3)
+        return np.zeros(0, U), *[np.zeros(0, np.int64)] * 2
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def ranked(windows: np.ndarray) -> np.ndarray:
-    """The rank of each row of bytes in lexicographic order; equal rows share one."""
-    n, size = windows.shape
-    wide = np.zeros((n, -(-size // 8) * 8), np.uint8)
-    wide[:, :size] = windows
-    words = wide.view(">u8").astype(U)
-    order = np.lexsort(words.T[::-1])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.append(False, (words[order][1:] != words[order][:-1]).any(axis=1)))
-    return rank
-
-
 def intervals(lcp: list[int], least: int) -> list[tuple[int, int, int]]:
     """Stack scan: (length, first, last) of every interval of the common-prefix tree of at least `least`; lcp[i] is that of suffixes i - 1 and i."""
     out, stack = [], [(0, 0)]
@@ -83,107 +83,134 @@ def intervals(lcp: list[int], least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def maximal_repeats(doc: np.ndarray, at: np.ndarray, count: np.ndarray, data: list[bytes]):
-    """Maximal repeats among segments, as (group, length, doc, position, first) with a row for each occurrence; and per window (class, doc, position).
+def maximal_repeats(doc: np.ndarray, at: np.ndarray, count: np.ndarray, text: np.ndarray):
+    """Maximal repeats among segments, as (group, length, doc, position, first) with a row for each occurrence.
 
-    Segment s holds the bytes of count[s] windows, of which the first begins at at[s] in its document. Groups are numbered from 0, their
-    occurrences in the order of (doc, position), and `first` marks the first of each.
+    `text` has the segments end to end; segment s holds count[s] windows, of which the first begins at at[s] in its document. Groups are
+    numbered from 0, their occurrences in the order of (doc, position), and `first` marks the first of each.
     """
-    size = np.array([len(x) for x in data], np.int64)
-    text = np.frombuffer(b"".join(data), np.uint8)
+    size = count + LENGTH - 1
     base = np.cumsum(size) - size
     seg = np.repeat(np.arange(len(size)), count)
     k = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
     start = base[seg] + k
-    # equal windows, by 128 bits; the order is found among one window of each class
-    a, b = grams(text, LENGTH)[start], grams(text, LENGTH, 1)[start]
-    _, sample, cls = np.unique(a, return_index=True, return_inverse=True)
-    if (b != b[sample][cls]).any():
-        _, sample, cls = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True, return_inverse=True)
-        cls = cls.ravel()
-    rank = ranked(np.lib.stride_tricks.sliding_window_view(text, LENGTH)[start[sample]])[cls]
-    d, p = doc[seg], at[seg] + k
-    left = np.where(k > 0, text[start - 1].astype(np.int64), -2)  # at a segment's edge the window before is elsewhere: as if it differed
-    # windows whose class repeats with different left neighbours; no part of another class can be a maximal repeat
-    times = np.bincount(rank)
-    low, high = np.full(len(times), 1 << 10), np.full(len(times), -3)
-    np.minimum.at(low, rank, left)
-    np.maximum.at(high, rank, left)
-    wanted = np.flatnonzero(((times > 1) & ((low != high) | (low == -2)))[rank])
+    # windows that are equal by their hash; whether they are is seen in the common prefixes below
+    h = grams(text, LENGTH)[start]
+    order = np.argsort(h, kind="stable")
+    edge = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    times = np.diff(np.append(edge, len(h)))
+    left = np.where(k > 0, text[start - 1].astype(np.int16), np.int16(-2))[order]  # at a segment's edge the window before is elsewhere: as if it differed
+    low, high = np.minimum.reduceat(left, edge), np.maximum.reduceat(left, edge)
+    # classes that repeat with different left neighbours; no part of another class can be a maximal repeat
+    class_ = np.flatnonzero((times > 1) & ((low != high) | (low == -2)))
     none = np.zeros(0, np.int64)
-    if not len(wanted):
-        return (none, none, none, none, none.astype(bool)), (a, b, d, p)
-    # common prefixes beyond LENGTH last as long as the windows that follow are equal too
-    room = count[seg[wanted]] - k[wanted]
-    follow = np.full((len(wanted), int(room.max())), -1, np.int32)
-    for t in range(follow.shape[1]):
-        has = room > t
-        follow[has, t] = rank[wanted[has] + t]
-    by = np.lexsort(follow.T[::-1])
-    order, follow = wanted[by], follow[by]
-    same = (follow[1:] == follow[:-1]) & (follow[1:] >= 0)
-    equal = np.where(same.all(axis=1), same.shape[1], np.argmin(same, axis=1))
-    lcp = np.append(0, np.where(equal > 0, LENGTH - 1 + equal, 0))
+    if not len(class_):
+        return none, none, none, none, none.astype(bool)
+    number = np.repeat(np.arange(len(class_)), times[class_])
+    wanted = order[np.repeat(edge[class_] - np.cumsum(times[class_]) + times[class_], times[class_]) + np.arange(len(number))]
+    del h, order, left
+    # in the order of the bytes; suffixes that differ within LENGTH have no interval in common, so their order among each other is free
+    room = (count[seg] - 1 - k)[wanted]
+    reach = -(-max(1, int(room.max())) // 8) * 8
+    step = np.arange(reach)
+    rest = np.where(step < room[:, None], np.append(text, np.zeros(reach, np.uint8))[(start[wanted] + LENGTH)[:, None] + step], np.uint8(0))
+    by = np.lexsort((room, *rest.view(">u8").astype(U).T[::-1], number))
+    wanted, number, room, rest = wanted[by], number[by], room[by], rest[by]
+    same = rest[1:] == rest[:-1]
+    beyond = np.minimum(np.where(same.all(axis=1), reach, np.argmin(same, axis=1)), np.minimum(room[1:], room[:-1]))
+    head = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
+    equal = number[1:] == number[:-1]
+    for a in range(0, len(equal), 1 << 16):
+        some = np.flatnonzero(equal[a : a + (1 << 16)]) + a
+        equal[some] = (head[start[wanted[some]]] == head[start[wanted[some + 1]]]).all(axis=1)
+    lcp = np.append(0, np.where(equal, LENGTH + beyond, 0))
     found = np.array(intervals(lcp.tolist(), LENGTH), np.int64).reshape(-1, 3)
-    sides = left[order]
-    changes = np.cumsum(np.append(0, sides[1:] != sides[:-1]))
+    sides = np.where(k[wanted] > 0, text[start[wanted] - 1].astype(np.int16), np.int16(-2))
+    changes = np.cumsum(np.append(0, (sides[1:] != sides[:-1]) | (sides[1:] == -2)))
     found = found[(changes[found[:, 2]] > changes[found[:, 1]]) | (sides[found[:, 1]] == -2)]
     members = found[:, 2] - found[:, 1] + 1
     group = np.repeat(np.arange(len(found)), members)
-    which = order[np.arange(len(group)) - np.repeat(np.cumsum(members) - members, members) + np.repeat(found[:, 1], members)]
-    by = np.lexsort((p[which], d[which], group))
-    which = which[by]
+    which = wanted[np.arange(len(group)) - np.repeat(np.cumsum(members) - members, members) + np.repeat(found[:, 1], members)]
+    d, p = doc[seg[which]], at[seg[which]] + k[which]
+    by = np.lexsort((p, d, group))
     first = np.append(True, group[1:] != group[:-1]) if len(group) else none.astype(bool)
-    return (group, np.repeat(found[:, 0], members), d[which], p[which], first), (a, b, d, p)
+    return group, np.repeat(found[:, 0], members), d[by], p[by], first
+
+
+def first_windows(doc: np.ndarray, at: np.ndarray, count: np.ndarray, text: np.ndarray):
+    """(128 bits of the window, doc, position) of the first occurrence of each window of some segments."""
+    size = count + LENGTH - 1
+    seg = np.repeat(np.arange(len(size)), count)
+    k = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+    start = (np.cumsum(size) - size)[seg] + k
+    a, b = grams(text, LENGTH)[start], grams(text, LENGTH, 1)[start]
+    d, p = doc[seg], at[seg] + k
+    by = np.lexsort((p, d, b, a))
+    a, b, d, p = a[by], b[by], d[by], p[by]
+    fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    return a[fresh].view(np.int64), b[fresh].view(np.int64), d[fresh], p[fresh]
+
+
+def parts(batch, most: int = 4_000_000) -> Iterator:
+    """An Arrow batch with a column `raw` in slices of about so many bytes, with the bytes laid end to end and the edges of its rows."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column("raw")), 0).to_numpy().astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1).tolist(), batch.num_rows]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        if z > a:
+            data = b"".join(x for x in batch.column("raw").slice(a, z - a).to_pylist() if x)
+            yield batch.slice(a, z - a), np.frombuffer(data, np.uint8), np.append(0, np.cumsum(size[a:z]))
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, row, raw) -> anchor, doc_id, row, first, windows."""
+
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for r in range(0, batch.num_rows, 256):
-                part = batch.slice(r, 256)
-                h, d, a = [], [], []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
-                    x, pos, _, _ = anchors(np.frombuffer((text.as_py() or "").encode(), np.uint8))
-                    h.append(x.view(np.int64))
-                    d.append(np.full(len(x), doc, np.int64))
-                    a.append(pos)
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in (h, d, a)], names=["anchor", "doc_id", "position"])
+            for part, data, edges in parts(batch):
+                h, first, count = anchors(data, edges)
+                doc = np.searchsorted(edges, first, side="right") - 1
+                which = pa.array(doc)
+                cols = [pa.array(h.view(np.int64)), part.column("doc_id").take(which), part.column("row").take(which), pa.array(first - edges[doc]), pa.array(count.astype(np.int32))]
+                yield pa.record_batch(cols, names=["anchor", "doc_id", "row", "first", "windows"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "anchor long, doc_id long, position long")
+    return docs.mapInArrow(work, "anchor long, doc_id long, row long, first long, windows int")
 
 
 def segments(texts: DataFrame) -> DataFrame:
-    """texts(doc_id, text, hits array of (position, n)): for each anchor of a hit, the bytes of its windows."""
+    """texts(doc, raw, hits array of (anchor, n, first, windows)): the bytes of each anchor's windows. Anchors of many places are dealt out by place."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         for batch in batches:
-            for r in range(0, batch.num_rows, 128):
-                part, rows = batch.slice(r, 128), []
-                for doc, text, hits in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("hits").to_pylist(), strict=True):
-                    raw = (text.as_py() or "").encode()
-                    many = {x["position"]: x["n"] for x in hits}
-                    for h, pos, first, last in zip(*(c.tolist() for c in anchors(np.frombuffer(raw, np.uint8))), strict=True):
-                        n = many.get(pos)
-                        if n:
-                            parts = -(-n // TOGETHER)
-                            salt = int(mixed(np.array([doc], np.int64).view(U))[0]) % parts
-                            rows.append((h - (1 << 64) if h >> 63 else h, salt, n, doc, first, last - first + 1, raw[first : last + LENGTH]))
-                if rows:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            for part, data, edges in parts(batch):
+                hits = part.column("hits")
+                rows, flat = np.repeat(np.arange(part.num_rows), np.diff(hits.offsets.to_numpy())), hits.flatten()
+                anchor, n, first, windows = (flat.field(c).to_numpy() for c in ("anchor", "n", "first", "windows"))
+                doc = part.column("doc").to_numpy()[rows]
+                salt = (mixed(doc.view(U) * U(0x9E3779B97F4A7C15) + first.view(U) // U(4096)) % (-(-n // TOGETHER)).astype(U)).astype(np.int32)
+                for a in range(0, len(rows), 1 << 14):
+                    z = slice(a, a + (1 << 14))
+                    size = windows[z].astype(np.int64) + LENGTH - 1
+                    ends = np.append(0, np.cumsum(size))
+                    own = data[np.repeat(edges[rows[z]] + first[z] - ends[:-1], size) + np.arange(ends[-1])]
+                    raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(own)])
+                    cols = [pa.array(c[z], t) for c, t in zip((anchor, salt, n, doc, first, windows), kinds, strict=True)]
+                    yield pa.record_batch([*cols, raw], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
     return texts.mapInArrow(work, SEGMENT)
 
 
-def repeat_groups(cut: DataFrame, most_bytes: int = 1 << 22) -> DataFrame:
-    """From segments: kind 0, an occurrence (doc_id, start, stop) of the maximal repeat group_id, length bytes long, kind 1 if it is its
-    first; kind 2, the first occurrence of a window (c1, c2) within one part of an anchor that is dealt out in several."""
-    dealt = cut.repartition(common.partitions(cut.sparkSession), "anchor", "salt").sortWithinPartitions("anchor", "salt")
+def solved(cut: DataFrame, most_bytes: int = 1 << 21) -> DataFrame:
+    """From segments: kind 0, an occurrence (doc, start, stop) of the maximal repeat group_id, length bytes long, kind 1 if it is its first
+    (c1: a hash of the places of all relative to the first, c2: how many they are); kind 2, the first occurrence of a window (c1, c2) within
+    one part of an anchor that is dealt out in several."""
+    dealt = cut.repartition(common.partitions(cut.sparkSession), "anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "at")
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -199,62 +226,101 @@ def repeat_groups(cut: DataFrame, most_bytes: int = 1 << 22) -> DataFrame:
 
         def solve(held):
             nonlocal number
-            doc, at, windows, n = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("doc_id", "at", "windows", "n")]
-            data = [x for b in held for x in b.column("bytes").to_pylist()]
-            (group, length, d, p, first), (a, b, wd, wp) = maximal_repeats(doc, at, windows.astype(np.int64), data)
+            doc, at, windows, n = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("doc", "at", "windows", "n")]
+            raw = [b.column("bytes") for b in held]
+            data = np.concatenate([np.frombuffer(x.buffers()[2], np.uint8)[slice(*np.frombuffer(x.buffers()[1], np.int32)[[x.offset, x.offset + len(x)]])] for x in raw])
+            windows = windows.astype(np.int64)
+            fresh = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))  # a row that repeats has the places of the other
+            if not fresh.all():
+                data = data[np.repeat(fresh, windows + LENGTH - 1)]
+                doc, at, windows, n = doc[fresh], at[fresh], windows[fresh], n[fresh]
+            group, length, d, p, first = maximal_repeats(doc, at, windows, data)
             if len(group):
-                yield table(first, d, p, length, group + number)
+                edge = np.flatnonzero(first)
+                times = np.diff(np.append(edge, len(group)))
+                apart = mixed(d.view(U) ^ mixed((p - np.repeat(p[edge], times)).view(U)))
+                c1 = np.repeat(np.add.reduceat(apart, edge).view(np.int64), times)
+                yield table(first, d, p, length, group + number, c1, np.repeat(times, times))
                 number += int(group[-1]) + 1
-            split = np.repeat(n, windows) > TOGETHER
+            split = n > TOGETHER
             if split.any():
-                a, b, wd, wp = a[split], b[split], wd[split], wp[split]
-                by = np.lexsort((wp, wd, b, a))
-                a, b, wd, wp = a[by], b[by], wd[by], wp[by]
-                fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-                wd, wp = wd[fresh], wp[fresh]
-                yield table(np.full(len(wd), 2), wd, wp, np.full(len(wd), LENGTH), None, a[fresh].view(np.int64), b[fresh].view(np.int64))
+                own = np.repeat(split, windows + LENGTH - 1)
+                a, b, d, p = first_windows(doc[split], at[split], windows[split], data[own])
+                yield table(np.full(len(d), 2), d, p, np.full(len(d), LENGTH), None, a, b)
 
         held, size, last = [], 0, None
         for batch in batches:
             key, salt = batch.column("anchor").to_numpy(), batch.column("salt").to_numpy()
-            edges = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
-            done = 0
-            for z in [*edges.tolist(), batch.num_rows]:
-                now = (int(key[done]), int(salt[done]))
-                if held and now != last and size >= most_bytes:
+            bytes_ = np.append(0, np.cumsum(batch.column("windows").to_numpy().astype(np.int64) + LENGTH - 1))
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1).tolist(), batch.num_rows]
+            begin = 0  # of what is not yet held
+            for a, z in zip(edges, edges[1:], strict=False):
+                now = (int(key[a]), int(salt[a]))
+                if now != last and size + bytes_[a] - bytes_[begin] >= most_bytes:
+                    if a > begin:
+                        held.append(batch.slice(begin, a - begin))
                     yield from solve(held)
-                    held, size = [], 0
-                piece = batch.slice(done, z - done)
-                held.append(piece)
-                size += int(piece.column("bytes").nbytes)
-                last, done = now, z
+                    held, size, begin = [], 0, a
+                last = now
+            held.append(batch.slice(begin))
+            size += int(bytes_[-1] - bytes_[begin])
         if held:
             yield from solve(held)
 
     return dealt.mapInArrow(work, FOUND)
 
 
-def find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(found, firsts, light): repeat_groups() of the documents that are the first with their text; their ids; doc_id, whole and n_bytes of all."""
-    spark = docs.sparkSession
+def numbered_docs(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, row, whole, n_bytes, doc, least: each document's number, and that of the first with the same text."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    light = common.saved(docs.select("doc_id", F.sha2(raw, 256).alias("whole"), F.octet_length(raw).cast("long").alias("n_bytes")))
-    firsts = light.groupBy("whole").agg(F.min("doc_id").alias("doc_id"))
-    firsts = common.saved(firsts.select("doc_id").distinct())
-    dup = anchor_rows(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = anchor_rows(docs).join(dup, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("position", "n")).alias("hits"))
-    hits = hits.join(firsts, "doc_id", "left_semi")
-    found = common.saved(repeat_groups(segments(docs.select("doc_id", "text").join(hits, "doc_id"))))
-    return found, firsts, light
+    light = docs.select("doc_id", F.xxhash64("text").alias("row"), F.sha2(raw, 256).alias("whole"), F.octet_length(raw).cast("long").alias("n_bytes"))
+    each = numbered(light.groupBy("doc_id", "row", "whole").agg(F.max("n_bytes").alias("n_bytes")), [F.col("doc_id").asc_nulls_last(), F.col("whole")], "doc")
+    each = common.saved(each)
+    return common.saved(each.join(each.groupBy("whole").agg(F.min("doc").alias("least")), "whole"))
+
+
+def same_row(left: str, right: str):
+    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.row") == F.col(f"{right}.row"))
+
+
+def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, each): solved() for the documents that are the first with their text; numbered_docs()."""
+    each = numbered_docs(docs)
+    raw = docs.select("doc_id", F.xxhash64("text").alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+    firsts = each.where("doc = least").select("doc_id", "row", "doc")
+    all_ = common.saved(anchor_rows(raw))
+    mine = common.saved(all_.alias("l").join(firsts.alias("r"), same_row("l", "r")).select("anchor", "doc", "first", "windows"))
+    often = mine.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hits = mine.join(often, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "n", "first", "windows")).alias("hits"))
+    hits = hits.join(firsts, "doc")
+    cut = raw.alias("l").join(hits.alias("r"), same_row("l", "r")).select("doc", "raw", "hits")
+    return common.saved(solved(segments(cut))), each
 
 
 def removable(found: DataFrame) -> DataFrame:
-    """doc_id, spans: what repeats an earlier place, from find()."""
-    own = found.where("kind = 0").select("doc_id", "start", "stop")
-    parts = found.where("kind = 2")
-    least = parts.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "start")).alias("least"))
-    later = parts.join(least, ["c1", "c2"]).where("doc_id <> least.doc_id or start <> least.start").select("doc_id", "start", "stop")
-    return own.union(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    """doc, spans: what repeats an earlier place, from find()."""
+    own = found.where("kind = 0").select("doc", "start", "stop")
+    split = found.where("kind = 2")
+    least = split.groupBy("c1", "c2").agg(F.min(F.struct("doc", "start")).alias("least"))
+    later = split.join(least, ["c1", "c2"]).where("doc <> least.doc or start <> least.start").select("doc", "start", "stop")
+    return own.union(later).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+
+
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """Maximal repeats with all their occurrences: group_id, length, doc_id, start (in bytes), a row for each place.
+
+    Where the same places go on from one anchor to the next, their repeats are one. Whole copies of a document are searched once and have
+    no places of their own here. An anchor with more than TOGETHER places is dealt out; its groups hold the places of one part.
+    """
+    found, each = find(docs.select("doc_id", "text"))
+    heads = found.where("kind = 1").select("group_id", "doc", "start", "stop", "c1", "c2")
+    run = Window.partitionBy("c1", "c2", "doc").orderBy("start", "stop", "group_id")
+    reach = F.max("stop").over(run.rowsBetween(Window.unboundedPreceding, -1))
+    heads = heads.withColumn("fresh", (reach.isNull() | (F.col("start") > reach - F.lit(LENGTH - 1))).cast("int"))
+    heads = heads.withColumn("island", F.sum("fresh").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = heads.groupBy("c1", "c2", "doc", "island").agg(F.min(F.struct("start", "group_id"))["group_id"].alias("group_id"), (F.max("stop") - F.min("start")).alias("length"))
+    places = found.where("kind < 2").select("group_id", "doc", "start").join(whole.select("group_id", "length"), "group_id")
+    return places.join(each.select("doc", "doc_id"), "doc").select("group_id", "length", "doc_id", "start")
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -272,15 +338,17 @@ def remove(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, spans (maximal removed runs), kept (its remaining bytes).
 
     Texts are UTF-8 bytes; null counts as empty; texts under LENGTH bytes lose nothing. Of whole copies (under one hash) the one with the
-    smallest doc_id is searched and the others go as a whole. Rows that repeat a doc_id must be equal and are each returned. A null doc_id
-    isn't searched and loses nothing. Extra columns aren't read. An empty table gives no rows.
+    smallest doc_id is searched and the others go as a whole. Rows that repeat a doc_id with the same text are one document and are each
+    returned; with other texts they are documents of their own, in the order of their hashes. Null ids come last. A long text is searched
+    anchor by anchor; a run of one period is dealt out by place. Extra columns aren't read. An empty table gives no rows.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    sound = docs.where("doc_id is not null").select("doc_id", "text")
-    found, firsts, light = find(sound)
+    found, each = find(docs.select("doc_id", "text"))
     spans = common.saved(removable(found))
-    later = light.join(firsts, "doc_id", "left_anti").where(F.col("n_bytes") >= LENGTH).select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"))
-    both = docs.select("doc_id", "text").join(spans.union(later).dropDuplicates(["doc_id"]), "doc_id", "left")
+    copy = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
+    later = each.where((F.col("doc") != F.col("least")) & (F.col("n_bytes") >= LENGTH)).select("doc", copy.alias("spans"))
+    spans = each.select("doc", "doc_id", "row").join(spans.union(later), "doc").select("doc_id", "row", "spans")
+    both = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).alias("l").join(spans.alias("r"), same_row("l", "r"), "left").select("l.doc_id", "text", "spans")
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa

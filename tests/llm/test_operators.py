@@ -115,16 +115,65 @@ def test_maximal_repeats_hold_all_occurrences():
     u = "12345" + t[24:174] + "67890"
     data, segs = [t.encode(), u.encode()], []
     for d, raw in enumerate(data):
-        for h, _, first, last in zip(*(c.tolist() for c in repeats.anchors(np.frombuffer(raw, np.uint8))), strict=True):
-            segs.append((h, d, first, last - first + 1, raw[first : last + 100]))
+        for h, first, n in zip(*(c.tolist() for c in repeats.anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))), strict=True):
+            segs.append((h, d, first, n, raw[first : first + n + 99]))
     segs.sort()
-    (group, length, doc, at, first), _ = repeats.maximal_repeats(*(np.array([s[k] for s in segs]) for k in (1, 2, 3)), [s[4] for s in segs])
+    group, length, doc, at, first = repeats.maximal_repeats(*(np.array([s[k] for s in segs]) for k in (1, 2, 3)), np.frombuffer(b"".join(s[4] for s in segs), np.uint8))
     assert len(group) and (length >= 100).all() and set(doc.tolist()) == {0, 1} and first.sum() == len(set(group.tolist()))
     for g in set(group.tolist()):
         here = group == g
         assert len({data[d][p : p + n] for d, p, n in zip(doc[here], at[here], length[here], strict=True)}) == 1
 
 
+def brute_groups(texts):
+    """Longest stretches over which windows of 100 bytes have the same places: (length, places), from the places of each window."""
+    places = defaultdict(list)
+    for i, t in texts.items():
+        for p in range(len(t) - 99):
+            places[t[p : p + 100]].append((i, p))
+    sets = {min(v): tuple(sorted(v)) for v in places.values() if len(v) > 1}
+    out = set()
+    for (i, p), v in sets.items():
+        back = (i, p - 1)
+        if back in sets and sets[back] == tuple((d, q - 1) for d, q in v):
+            continue
+        n = 100
+        while sets.get((i, p + n - 99)) == tuple((d, q + n - 99) for d, q in v):
+            n += 1
+        out.add((n, v))
+    return out
+
+
+def test_repeat_groups(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    long, short, other = word(900), word(130), word(101)
+    texts = {1: word(50) + long + word(40), 2: word(9) + short + word(70) + long, 3: long[:400] + word(30) + short + word(300) + other, 4: other + word(20), 5: word(500), 6: word(99)}
+    docs = spark.createDataFrame([*texts.items(), (7, None), (8, "")], "doc_id long, text string")
+    got = defaultdict(list)
+    for g, n, d, p in repeats.repeat_groups(docs).collect():
+        got[g, n].append((d, p))
+    want = brute_groups(texts)
+    mine = {(n, tuple(sorted(v))) for (_, n), v in got.items()}
+    assert {(n, v) for n, v in mine if len(v) != 2 or v[0][0] != 1} == {(n, v) for n, v in want if len(v) != 2 or v[0][0] != 1}
+    # the first 400 bytes have three places, the rest two; the whole of it is a maximal repeat of two as well
+    assert {(d, p) for n, v in mine for d, p in v if n >= 400} >= {(1, 50), (2, 209), (3, 0)}
+    for n, v in mine:
+        assert n >= 100 and len({texts[d][p : p + n] for d, p in v}) == 1
+
+
+def test_repeats_of_odd_rows(spark):
+    """Periodic and long texts, null ids, ids that repeat with the same and with other texts, characters of several bytes."""
+    rng = random.Random(4)
+    base = "".join(rng.choices("abcdefghij é日", k=400))
+    data = [(1, base), (1, base), (1, "x" + base[100:]), (None, base[50:300] + "tail"), (2, "ab " * 20_000), (3, "z" * 5000), (4, "ab " * 50), (None, None), (5, base[:99])]
+    docs = spark.createDataFrame([(*r, 1, "a") for r in data], "doc_id long, text string, row int, doc string")
+    order = sorted({*data}, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    want = brute_repeats({i: t or "" for i, (_, t) in enumerate(order)})
+    want = Counter((d, *want[order.index((d, t))]) for d, t in data)
+    assert Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in repeats.remove(docs).collect()) == want
+
+
 def test_line_dedup(docs, empty):
     lines = {}
     for i, t, *_ in rows():
