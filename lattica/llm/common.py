@@ -43,10 +43,26 @@ def saved(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def perhaps_in(df: DataFrame, key: str, members: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of df whose 64-bit hash `key` may be in the one column of members: all that are, and the fewer others the fewer members.
+
+    For use before a join that decides, so that most rows needn't be shuffled. Broadcast are at most 2 ** (bits - 6) rows of 16 bytes,
+    whatever the input: one for each 64 places of a bitmap.
+    """
+    def spot(c: str) -> tuple[Column, Column]:
+        at = F.pmod(F.col(c), F.lit(1 << bits))
+        return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+
+    word, mask = spot(members.columns[0])
+    words = members.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    word, mask = spot(key)
+    return df.withColumn("_word", word).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(mask) != 0).select(*df.columns)
+
+
 def hot_values(df: DataFrame, key: str, *, rows: int, share: float) -> list:
     """Values of key that hold more than about `share` of the rows, found in a sample.
 
