@@ -289,10 +289,10 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     raw = docs.select("doc_id", F.xxhash64("text").alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
     firsts = each.where("doc = least").select("doc_id", "row", "doc")
     all_ = common.saved(anchor_rows(raw))
-    mine = common.saved(all_.alias("l").join(firsts.alias("r"), same_row("l", "r")).select("anchor", "doc", "first", "windows"))
-    often = mine.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = mine.join(often, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "n", "first", "windows")).alias("hits"))
-    hits = hits.join(firsts, "doc")
+    often = common.saved(all_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    some = common.perhaps_in(all_, "anchor", often.select("anchor")).join(often, "anchor")
+    hits = some.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "n", "first", "windows")).alias("hits"))
+    hits = hits.alias("l").join(firsts.alias("r"), same_row("l", "r")).select("r.*", "hits")
     cut = raw.alias("l").join(hits.alias("r"), same_row("l", "r")).select("doc", "raw", "hits")
     return common.saved(solved(segments(cut))), each
 
