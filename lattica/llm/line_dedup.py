@@ -45,11 +45,10 @@ def shingle(coded: Column, start: Column, width: int) -> Column:
     return F.substr(coded, start, F.lit(4 * width))
 
 
-def shingle_set(line: Column, width: int) -> Column:
-    """The distinct shingles of a line, as hashes."""
+def shingle_list(line: Column, width: int) -> Column:
+    """The shingles of a line in their order, as hashes."""
     # bound by the lambda, the coded line is made once
-    each = F.transform(F.array(wide(line)), lambda b: F.array_distinct(F.transform(starts(b, width), lambda i: F.xxhash64(shingle(b, i, width)))))
-    return F.element_at(each, 1)
+    return F.element_at(F.transform(F.array(wide(line)), lambda b: F.transform(starts(b, width), lambda i: F.xxhash64(shingle(b, i, width)))), 1)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -74,10 +73,11 @@ def overlapping(x: Column, y: Column, shared: Column, similarity: float) -> Colu
 
 
 def confirmed(pairs: DataFrame, known: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Those of pairs(a, b) whose lines in known(id, norm) have the similarity, on their whole sets."""
-    p = pairs.join(known.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-    both = F.array(F.struct(shingle_set(F.col("x"), width).alias("x"), shingle_set(F.col("y"), width).alias("y")))
-    return p.where(F.exists(both, lambda s: overlapping(F.size(s["x"]), F.size(s["y"]), F.size(F.array_intersect(s["x"], s["y"])), similarity))).select("a", "b")
+    """Those of pairs(a, b) whose lines in known(id, norm, n) have the similarity, on their whole sets, of n distinct shingles each."""
+    p = pairs.join(known.select(F.col("id").alias("a"), F.col("norm").alias("x"), F.col("n").alias("nx")), "a")
+    p = p.join(known.select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("n").alias("ny")), "b").where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
+    shared = F.size(F.array_intersect(shingle_list(F.col("x"), width), shingle_list(F.col("y"), width)))
+    return p.where(overlapping(F.col("nx"), F.col("ny"), shared, similarity)).select("a", "b")
 
 
 def prefix_pairs(open_: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -86,7 +86,7 @@ def prefix_pairs(open_: DataFrame, similarity: float, width: int) -> DataFrame:
     Sets are put in the order of rising frequency. Of n shingles, similar sets share one of the first n - ceil(similarity * n) + 1; where
     that is the first they share, no more than the rest of either set can be shared, which is checked in the join.
     """
-    each = common.saved(open_.select("id", F.explode(shingle_set(F.col("norm"), width)).alias("h")))
+    each = common.saved(open_.select("id", F.explode(F.array_distinct(shingle_list(F.col("norm"), width))).alias("h")))
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     sizes = each.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     # of a line's shingles only those that another line has can be met, and their places follow from how many stand before them
@@ -137,7 +137,8 @@ def near_links(each: DataFrame, distinct: DataFrame, similarity: float, width: i
     buckets = common.saved(common.perhaps_in(rows, "key", met.select("key")).join(met, "key"))
     active = common.saved(distinct.select("id", "k1", "k2").join(buckets.select("id").distinct(), "id"))
     texts = common.perhaps_in(each.select("k1", "k2", "norm"), "k1", active.select("k1"))
-    known = common.saved(texts.join(active, ["k1", "k2"]).dropDuplicates(["id"]).select("id", "norm"))
+    known = texts.join(active, ["k1", "k2"]).dropDuplicates(["id"])
+    known = common.saved(known.select("id", "norm", F.size(F.array_distinct(shingle_list(F.col("norm"), width))).alias("n")))
     stars = buckets.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     first = common.saved(confirmed(stars, known, similarity, width))
     roots = components(first).select(F.col("node").alias("id"), "root")
@@ -148,7 +149,7 @@ def near_links(each: DataFrame, distinct: DataFrame, similarity: float, width: i
     l, r = (now.where((F.col("n") <= SMALL) & (F.col("id") != F.col("least"))).alias(x) for x in "lr")
     small = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") > F.col("r.id")) & (F.col("l.root") != F.col("r.root")))
     small = small.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.root").alias("ra"), F.col("r.root").alias("rb"))
-    open_ = common.saved(now.where(F.col("n") > SMALL).select("id", "root").distinct().join(known, "id"))
+    open_ = common.saved(now.where(F.col("n") > SMALL).select("id", "root").distinct().join(known.drop("n"), "id"))
     pairs = common.saved(small.union(prefix_pairs(open_, similarity, width)).distinct())
     return first.union(linked(pairs, known, similarity, width))
 
@@ -163,7 +164,8 @@ def settled(docs: DataFrame, *, similarity: float = 0.8, width: int = 8) -> Data
     single = each.select(place, "k1", "k2").groupBy("k1", "k2").agg(F.min("place").alias("place")).join(alike, ["k1", "k2"], "left")
     single = common.saved(single)
     least = single.where("root is not null").groupBy("root").agg(F.min("place").alias("least"))
-    stays = single.join(least, "root", "left").select("k1", "k2", F.coalesce("least", "place").alias("stay"))
+    alone = single.where("root is null").select("k1", "k2", F.col("place").alias("stay"))
+    stays = alone.union(single.join(least, "root").select("k1", "k2", F.col("least").alias("stay")))
     out = each.select("doc_id", "line_no", "row", place, "k1", "k2").join(stays, ["k1", "k2"])
     return out.select("doc_id", "line_no", "row", F.col("stay.doc_id").alias("keep_doc"), F.col("stay.line_no").alias("keep_line"), (F.col("stay") == F.col("place")).alias("kept"))
 

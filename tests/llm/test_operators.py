@@ -397,7 +397,7 @@ def test_line_prefix_pairs(spark):
         lines[i] = " ".join(other)
     lines |= {200: "short", 201: "short!", 202: "s"}
     sets = {i: {x[k : k + 8] for k in range(max(1, len(x) - 7))} for i, x in lines.items()}
-    df = spark.createDataFrame([(i, i, x) for i, x in lines.items()], "id long, root long, norm string")
+    df = spark.createDataFrame([(i, i, x, len(sets[i])) for i, x in lines.items()], "id long, root long, norm string, n int")
     alike = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     pairs = line_dedup.prefix_pairs(df, 0.8, 8)
     got = {(a, b) for a, b, ra, rb in pairs.collect() if (a, b) == (ra, rb)}
@@ -420,7 +420,7 @@ def test_line_dedup_sees_every_character(spark):
     docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
     got = {r["line_no"]: r["keep_line"] for r in line_dedup.line_dedup(docs).collect()}
     assert got == dict(enumerate(root)) and sum(k != r for k, r in got.items()) == 1
-    some = spark.createDataFrame([(n,) for n in lines], "norm string").select("norm", F.size(line_dedup.shingle_set(F.col("norm"), 8)).alias("n")).collect()
+    some = spark.createDataFrame([(n,) for n in lines], "norm string").select("norm", F.size(F.array_distinct(line_dedup.shingle_list(F.col("norm"), 8))).alias("n")).collect()
     assert [(r["norm"], r["n"]) for r in some] == [(n, len(s)) for n, s in zip(lines, shingles, strict=True)]
 
 
