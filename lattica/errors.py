@@ -13,11 +13,15 @@ class DatasetLocked(LatticaError):
     """Another writer holds the dataset."""
 
 
-class IncompatibleSchema(LatticaError):
+class DatasetCorrupt(LatticaError):
+    """What is stored doesn't agree with its manifest."""
+
+
+class IncompatibleSchema(LatticaError, ValueError):
     """Parts or annotations that must agree don't."""
 
 
-class LossyCast(LatticaError):
+class LossyCast(LatticaError, ValueError):
     """A cast would change values."""
 
 
@@ -27,3 +31,7 @@ class NonIntegerCounts(LatticaError, ValueError):
 
 class DuplicateEntries(LatticaError, ValueError):
     """One (row, column) is stored twice."""
+
+
+class ColumnOutOfBounds(LatticaError, ValueError):
+    """An entry's column is not one of the matrix."""

@@ -34,12 +34,17 @@ def shifted(rows: DataFrame, first: DataFrame, columns: list[str]) -> DataFrame:
     return out.drop("first")
 
 
+#: Names of the families' roles, and the characters that a folder's name may have.
+ROLES = ("x", "raw", "layer", "modality")
+UNSAFE = r"[^0-9A-Za-z._-]"
+
+
 def family_key(role: str, name: str = "", owner: str = "x") -> str:
     return {"x": "x", "raw": "raw", "layer": f"layer:{name}" if owner == "x" else f"{owner}:layer:{name}", "modality": f"modality:{name}"}[role]
 
 
 def family_folder(key: str) -> str:
-    return re.sub(r"[^0-9A-Za-z._-]", "_", key)
+    return re.sub(UNSAFE, "_", key)
 
 
 def families(matrices: dict[str, DataFrame]) -> DataFrame:
@@ -55,3 +60,27 @@ def families(matrices: dict[str, DataFrame]) -> DataFrame:
 
 def one_family(all_: DataFrame, key: str) -> DataFrame:
     return all_.where(F.col("family") == key).select("row_id", "col_id", "value")
+
+
+def is_primary(key: str) -> bool:
+    """Whether a family belongs to the primary matrix: x, raw, or a layer of x."""
+    return key in ("x", "raw") or key.startswith("layer:")
+
+
+def reassembled(all_: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """families() taken apart again: one table of entries for each key."""
+    return {k: one_family(all_, k) for k in keys}
+
+
+def side_by_side(all_: DataFrame, keys: list[str]) -> DataFrame:
+    """row_id, col_id and a column for each family with the value that it holds there; null where it has no entry."""
+    cols = [F.max(F.when(F.col("family") == k, F.col("value"))).alias(family_folder(k)) for k in keys]
+    return all_.where(F.col("family").isin(keys)).groupBy("row_id", "col_id").agg(*cols)
+
+
+def check_aligned(primary: DataFrame, others: dict[str, DataFrame], name: str) -> None:
+    """Modalities have the rows of the primary one: the same names at the same row_id."""
+    for key, obs in others.items():
+        pairs = primary.select("row_id", F.col(name).alias("a")).join(obs.select("row_id", F.col(name).alias("b")), "row_id", "full_outer")
+        if not pairs.where(~F.col("a").eqNullSafe(F.col("b"))).isEmpty():
+            raise IncompatibleSchema(f"modality {key} has other rows than the primary one")

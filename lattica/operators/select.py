@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.runtime import numbered
+
 
 def row_ids(request, n_obs: int) -> list[int]:
     """A request as row ids: one int, ints, or a mask of n_obs bools. Duplicates and order stay."""
@@ -27,6 +29,18 @@ def row_ids(request, n_obs: int) -> list[int]:
     return request
 
 
+def key_rows(key, n_obs: int) -> range | list[int]:
+    """A key as rows in their order: a slice without a step as a range within the rows, an id, ids or a mask as sorted ids."""
+    if isinstance(key, slice):
+        if key.step not in (None, 1):
+            raise NotImplementedError("slices have no step")
+        lo, hi = (d if x is None else x for x, d in ((key.start, 0), (key.stop, n_obs)))
+        if lo < 0 or hi < 0:
+            raise IndexError("negative rows")
+        return range(min(lo, n_obs), max(min(lo, n_obs), min(hi, n_obs)))
+    return sorted(row_ids(key, n_obs))
+
+
 def request_table(spark: SparkSession, ids: Sequence[int]) -> DataFrame:
     """pos, row_id: what was asked for, in order. As large as the request, which the caller holds."""
     return spark.createDataFrame([(i, int(r)) for i, r in enumerate(ids)], "pos long, row_id long")
@@ -35,9 +49,7 @@ def request_table(spark: SparkSession, ids: Sequence[int]) -> DataFrame:
 def gather(x: DataFrame, request: DataFrame, *, ordered: bool = True) -> DataFrame:
     """pos, row_id, col_id, value of the requested rows; rows without entries give none. With ordered=False positions follow row ids."""
     if not ordered:
-        from pyspark.sql import Window
-
-        request = request.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("row_id", "pos")) - 1).cast("long").alias("pos"), "row_id")
+        request = numbered(request.withColumnRenamed("pos", "_asked"), [F.col("row_id"), F.col("_asked")], "pos").select("pos", "row_id")
     return request.join(x, "row_id").select("pos", "row_id", "col_id", "value")
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.errors import ColumnOutOfBounds, DuplicateEntries
+from lattica.functions.runtime import numbered
+
 
 def row_nnz(x: DataFrame, order: DataFrame) -> DataFrame:
     """row_id, nnz; empty rows have 0."""
@@ -29,17 +32,31 @@ def delta_gaps(x: DataFrame) -> DataFrame:
     return x.select("row_id", (F.row_number().over(w) - 1).cast("long").alias("k"), (F.col("col_id") - F.coalesce(F.lag("col_id").over(w), F.lit(0))).cast("long").alias("gap"))
 
 
+def columns_from_gaps(gaps: DataFrame) -> DataFrame:
+    """row_id, k, col_id: the inverse of delta_gaps()."""
+    w = Window.partitionBy("row_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return gaps.select("row_id", "k", F.sum("gap").over(w).cast("long").alias("col_id"))
+
+
 def blocks(nnz: DataFrame, *, most: int) -> DataFrame:
-    """block, lo, hi: runs of rows cut where a row's start passes a multiple of `most` entries. nnz(row_id, nnz, indptr)."""
-    b = F.floor(F.col("indptr") / most)
+    """block, lo, hi: runs of rows cut where a row's start passes a multiple of most / 2 entries. nnz(row_id, indptr).
+
+    So no block has more than `most` entries as long as no row has more than half of that. The cuts follow from each row's own start,
+    so no task walks over all rows.
+    """
+    b = F.floor(F.col("indptr") * 2 / most)
     g = nnz.groupBy(b.alias("b")).agg(F.min("row_id").alias("lo"), (F.max("row_id") + 1).alias("hi"))
-    return g.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("lo")) - 1).cast("long").alias("block"), "lo", "hi")
+    return numbered(g, [F.col("lo")], "block").select(F.col("block").cast("long").alias("block"), "lo", "hi")
 
 
 def dense_cells(x: DataFrame, order: DataFrame, columns: DataFrame) -> DataFrame:
-    """row_id, col_id, value of every cell of the chosen rows and columns; unstored cells are 0; of repeated cells the last by `k` counts."""
-    last = x.groupBy("row_id", "col_id").agg(F.max_by("value", "k").alias("value"))
-    wanted = order.select("row_id", F.explode(F.array(*[F.lit(c) for c in sorted(r[0] for r in columns.collect())])).alias("col_id"))
+    """row_id, col_id, value of every cell of the chosen rows and columns(col_id); unstored cells are 0; of repeated cells the last by `k` counts.
+
+    The list of columns is one row, as wide as the dense rows that were asked for.
+    """
+    last = x.join(columns, "col_id", "left_semi").groupBy("row_id", "col_id").agg(F.max_by("value", "k").alias("value"))
+    wide = columns.agg(F.sort_array(F.collect_set("col_id")).alias("cols")).select(F.lit(0).alias("one"), "cols")
+    wanted = order.select("row_id", F.lit(0).alias("one")).join(F.broadcast(wide), "one").select("row_id", F.explode("cols").alias("col_id"))
     return wanted.join(last, ["row_id", "col_id"], "left").select("row_id", "col_id", F.coalesce("value", F.lit(0)).alias("value"))
 
 
@@ -84,3 +101,14 @@ def split_labels(obs: DataFrame, label: str, is_reference: Column) -> DataFrame:
 def missing_beside_text(obs: DataFrame, label: str) -> DataFrame:
     """One row: whether missing labels stand beside the text that is to stand for them."""
     return obs.agg((F.bool_or(F.col(label).isNull()) & F.coalesce(F.bool_or(F.col(label) == "nan"), F.lit(False))).alias("collision"))
+
+
+def check_entries(x: DataFrame, n_vars: int, *, unique: bool = True) -> None:
+    """Entries of columns that there are, each cell once; else ColumnOutOfBounds or DuplicateEntries, with some of them."""
+    bad = out_of_bounds(x, n_vars).limit(3).collect()
+    if bad:
+        raise ColumnOutOfBounds(f"columns are from 0 to {n_vars - 1}: {[tuple(r) for r in bad]}")
+    if unique:
+        twice = repeated_entries(x).limit(3).collect()
+        if twice:
+            raise DuplicateEntries(f"stored more than once: {[(r[0], r[1]) for r in twice]}")

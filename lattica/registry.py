@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lattica.functions import dtypes, runtime
 from lattica.operators import combine, layout, select, structure
 from lattica.plans import tables as T
-from lattica.sources import store
+from lattica.sources import archive, store
 from lattica.streaming import push
 
 QUERIES: dict = {}
@@ -39,6 +39,11 @@ VALUES = ", ".join(f"({i}, {r})" for i, r in enumerate(REQUEST))
 REQ = f"req AS (SELECT CAST(a AS BIGINT) AS pos, CAST(b AS BIGINT) AS row_id FROM (VALUES {VALUES}) v(a, b))"
 
 
+def shown(df: DataFrame) -> DataFrame:
+    """Entries of the stored archive with values as long, as the oracles have them."""
+    return df.withColumn("value", F.col("value").cast("long"))
+
+
 def query(oracle: str | None):
     def put(f):
         QUERIES[f.__name__] = f
@@ -100,62 +105,61 @@ def layout_nan_collision_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LAY}, {SPANS} SELECT ord, label, start, stop, role FROM spans")
 def group_spans(spark: SparkSession, d: str) -> DataFrame:
-    return layout.group_spans(T.order(spark, d))
+    return T.stored(spark, d).group_spans()
 
 
 @query(f"WITH {LAY}, {SPANS} SELECT label FROM spans")
 def group_labels(spark: SparkSession, d: str) -> DataFrame:
-    return layout.group_spans(T.order(spark, d)).select("label")
+    return T.stored(spark, d).group_spans().select("label")
 
 
 @query(f"WITH {LAY}, {SPANS} SELECT max(stop) AS n FROM spans WHERE role = 'reference'")
 def reference_row_count(spark: SparkSession, d: str) -> DataFrame:
-    return select.reference_count(layout.group_spans(T.order(spark, d)))
+    return select.reference_count(T.stored(spark, d).group_spans())
 
 
 # --- selection
 
 @query(f"WITH {MAT}, {SPANS} SELECT x.* FROM x, spans WHERE label = '5-LOW' AND row_id >= start AND row_id < stop")
 def read_group(spark: SparkSession, d: str) -> DataFrame:
-    placed = T.order(spark, d)
-    return select.read_group(T.matrix(spark, d, placed), layout.group_spans(placed), "5-LOW")
+    return shown(T.stored(spark, d).read_group("5-LOW"))
 
 
 @query(f"WITH {MAT}, {SPANS} SELECT x.* FROM x, spans WHERE role = 'reference' AND row_id < stop")
 def read_reference(spark: SparkSession, d: str) -> DataFrame:
-    placed = T.order(spark, d)
-    return select.read_reference(T.matrix(spark, d, placed), layout.group_spans(placed))
+    return shown(T.stored(spark, d).read_reference())
 
 
 @query(f"WITH {MAT}, {REQ} SELECT req.pos, row_id, col_id, value FROM req JOIN x USING (row_id)")
 def gather_rows(spark: SparkSession, d: str) -> DataFrame:
-    return select.gather(T.matrix(spark, d), select.request_table(spark, REQUEST))
+    return shown(T.stored(spark, d).gather(REQUEST))
 
 
 @query(f"WITH {MAT}, {REQ}, s AS (SELECT CAST(row_number() OVER (ORDER BY row_id, pos) - 1 AS BIGINT) AS pos, row_id FROM req) SELECT s.pos, row_id, col_id, value FROM s JOIN x USING (row_id)")
 def gather_rows_sorted(spark: SparkSession, d: str) -> DataFrame:
-    return select.gather(T.matrix(spark, d), select.request_table(spark, REQUEST), ordered=False)
+    return shown(T.stored(spark, d).gather(REQUEST, ordered=False))
 
 
 @query(f"WITH {MAT} SELECT x.* FROM x JOIN lay USING (row_id) WHERE o_orderstatus = 'F'")
 def gather_rows_mask(spark: SparkSession, d: str) -> DataFrame:
-    placed = T.order(spark, d)
-    return select.rows_where(T.matrix(spark, d, placed), placed, F.col("o_orderstatus") == "F")
+    a = T.stored(spark, d)
+    return shown(select.rows_where(a.family(), a.obs(), F.col("o_orderstatus") == "F"))
 
 
 @query(f"WITH {MAT} SELECT * FROM x WHERE row_id >= 50 AND row_id < 125")
 def read_slice(spark: SparkSession, d: str) -> DataFrame:
-    return select.rows_between(T.matrix(spark, d), 50, 125)
+    return shown(T.stored(spark, d)[50:125])
 
 
 @query(f"WITH {MAT}, {REQ} SELECT req.pos, col_id, CAST(value AS FLOAT) AS value FROM req JOIN x USING (row_id)")
 def gather_rows_float32(spark: SparkSession, d: str) -> DataFrame:
-    return select.gather(T.matrix(spark, d), select.request_table(spark, REQUEST)).select("pos", "col_id", F.col("value").cast("float").alias("value"))
+    return T.stored(spark, d).gather(REQUEST).select("pos", "col_id", "value")
 
 
 @query(f"WITH {LAY}, {REQ} SELECT req.pos, row_id, label, o_orderstatus FROM req JOIN lay USING (row_id)")
 def gather_rows_adata_obs(spark: SparkSession, d: str) -> DataFrame:
-    return select.annotate(select.request_table(spark, REQUEST), T.order(spark, d), ["label", "o_orderstatus"])
+    a = T.stored(spark, d)
+    return select.annotate(select.request_table(spark, REQUEST), a.pushed(REQUEST, a.obs()), ["label", "o_orderstatus"])
 
 
 #: Rows of orders of one customer are neighbours, in the order of their keys.
@@ -163,13 +167,7 @@ EDGES = f"""{LAY}, e AS (SELECT * FROM (SELECT o_orderkey AS a, lead(o_orderkey)
 edges AS (SELECT s.row_id AS src, t.row_id AS dst, b - a AS weight FROM e JOIN lay s ON s.pos = a JOIN lay t ON t.pos = b)"""
 
 
-def edges(spark: SparkSession, d: str, placed: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    o = T.read(spark, d, "orders", "o_orderkey", "o_custkey")
-    e = o.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("b")).where("b is not null")
-    s, t = (placed.select(F.col("o_orderkey").alias(k), F.col("row_id").alias(n)) for k, n in (("a", "src"), ("b", "dst")))
-    return e.join(s, "a").join(t, "b").select("src", "dst", (F.col("b") - F.col("a")).alias("weight"))
+edges = T.edges
 
 
 @query(f"WITH {EDGES}, req AS (SELECT row_id AS pos, row_id FROM lay WHERE role = 'reference') SELECT a.pos AS src_pos, b.pos AS dst_pos, weight FROM edges JOIN req a ON a.row_id = src JOIN req b ON b.row_id = dst")
@@ -178,6 +176,116 @@ def subgraph(spark: SparkSession, d: str) -> DataFrame:
     return select.subgraph(edges(spark, d, placed), placed.where("role = 'reference'").select(F.col("row_id").alias("pos"), "row_id"))
 
 
+# --- the stored archive
+
+VARS = "(SELECT count(*) FROM part)"
+
+
+@query(f"WITH {ENT} SELECT (SELECT count(*) FROM orders) AS n_obs, {VARS} AS n_vars, (SELECT count(*) FROM ent) AS nnz, 'integer' AS codec, 'uint16' AS value_dtype, CASE WHEN {VARS} <= 65536 THEN 'uint16' ELSE 'uint32' END AS index_dtype, 'o_orderpriority' AS group_by")
+def archive_info(spark: SparkSession, d: str) -> DataFrame:
+    return T.stored(spark, d).info()
+
+
+@query("SELECT p_partkey AS col_id, p_brand, [p_size::DOUBLE] AS vec FROM part")
+def read_var(spark: SparkSession, d: str) -> DataFrame:
+    """Column annotations with their vector; no entry is read."""
+    a = T.stored(spark, d)
+    return a.var().join(a.part("varm", "size"), "col_id").select("col_id", "p_brand", "vec")
+
+
+@query(f"WITH {LAY} SELECT row_id, label, o_orderstatus FROM lay")
+def read_obs(spark: SparkSession, d: str) -> DataFrame:
+    return T.stored(spark, d).obs().select("row_id", "label", "o_orderstatus")
+
+
+@query(f"WITH {LAY}, {REQ} SELECT req.pos, [o_totalprice, o_orderkey::DOUBLE] AS vec FROM req JOIN lay USING (row_id) JOIN orders ON lay.pos = o_orderkey")
+def gather_annotated_obsm(spark: SparkSession, d: str) -> DataFrame:
+    return T.stored(spark, d).annotated(REQUEST)["obsm"]["totals"].select("pos", "vec")
+
+
+@query(f"WITH {EDGES}, sel AS (SELECT row_id AS pos, row_id FROM lay WHERE row_id < 600) SELECT a.pos AS src_pos, b.pos AS dst_pos, weight FROM edges JOIN sel a ON a.row_id = src JOIN sel b ON b.row_id = dst")
+def gather_annotated_obsp(spark: SparkSession, d: str) -> DataFrame:
+    """The graph among requested rows: both ends are requested."""
+    a = T.stored(spark, d)
+    return a.annotated(list(range(min(600, a.shape[0]))))["obsp"]["next"]
+
+
+@query(f"WITH {LAY}, {SPANS} SELECT row_id - start AS pos, pos AS o_orderkey, o_orderstatus FROM lay, spans WHERE spans.label = '1-URGENT' AND row_id >= start AND row_id < stop")
+def read_group_annotated(spark: SparkSession, d: str) -> DataFrame:
+    return T.stored(spark, d).group_annotated("1-URGENT")["obs"].select("pos", "o_orderkey", "o_orderstatus")
+
+
+@query(f"WITH {EDGES}, {SPANS}, g AS (SELECT start, stop FROM spans WHERE label = '1-URGENT') SELECT src - start AS src_pos, dst - start AS dst_pos, weight FROM edges, g WHERE src >= start AND src < stop AND dst >= start AND dst < stop")
+def read_group_graph(spark: SparkSession, d: str) -> DataFrame:
+    return T.stored(spark, d).group_annotated("1-URGENT")["obsp"]["next"]
+
+
+@query(f"WITH {LAY}, p AS (SELECT l_orderkey AS pos, l_partkey AS col_id, max(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2) SELECT row_id, col_id, value FROM p JOIN lay USING (pos) WHERE row_id < 100")
+def layer_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a layer in the storage order of the whole archive."""
+    return T.stored(spark, d).rows(0, 100, "layer:price")
+
+
+@query(f"WITH {MAT} SELECT row_id, col_id, CAST(value AS FLOAT) AS value FROM x")
+def read_cast_back(spark: SparkSession, d: str) -> DataFrame:
+    """All entries in the types of the read plan: small counts come back as float32."""
+    return T.stored(spark, d).read()
+
+
+STORED = f"""{LAY}, {ENT}, {SPANS}, {NNZ}, g AS (SELECT ord, label, role, CAST(sum(nnz) * 4 AS BIGINT) AS bytes FROM nnz JOIN spans USING (label) GROUP BY 1, 2, 3),
+  target AS (SELECT CAST(count(*) * 4 // 3 AS BIGINT) AS t FROM ent),
+  fold AS (SELECT ord, label, role, bytes, bytes AS cur, CAST(0 AS BIGINT) AS shard FROM g WHERE ord = 0
+    UNION ALL SELECT g.ord, g.label, g.role, g.bytes,
+      CASE WHEN g.role <> 'reference' AND (f.role = 'reference' OR f.cur + g.bytes > t) THEN g.bytes ELSE f.cur + g.bytes END,
+      f.shard + CASE WHEN g.role <> 'reference' AND (f.role = 'reference' OR f.cur + g.bytes > t) THEN 1 ELSE 0 END
+    FROM fold f JOIN g ON g.ord = f.ord + 1, target),
+  bounds AS (SELECT shard, min(start) AS row_start, max(stop) AS row_stop, CAST(sum(bytes) AS BIGINT) AS bytes FROM fold JOIN spans USING (label) GROUP BY shard)"""
+
+
+@query(rec(STORED, "SELECT shard, row_start, row_stop, bytes // 4 AS nnz, bytes FROM bounds"))
+def stored_shards(spark: SparkSession, d: str) -> DataFrame:
+    """The shards that an archive was written with."""
+    return T.stored(spark, d).table("shards").select("shard", "row_start", "row_stop", "nnz", "bytes")
+
+
+@query(rec(STORED, "SELECT row_id - row_start AS row_id, col_id, value FROM ent JOIN lay USING (pos), bounds WHERE shard = 1 AND row_id >= row_start AND row_id < row_stop"))
+def read_shard(spark: SparkSession, d: str) -> DataFrame:
+    return shown(T.stored(spark, d).shard(1))
+
+
+@query(rec(STORED, "SELECT row_id, col_id, value FROM ent JOIN lay USING (pos), bounds WHERE shard = (SELECT shard FROM fold WHERE role = 'reference' LIMIT 1) AND row_id >= row_start AND row_id < row_stop"))
+def read_reference_shard(spark: SparkSession, d: str) -> DataFrame:
+    return shown(T.stored(spark, d).reference_shard())
+
+
+@query(rec(STORED, "SELECT shard, label, sum(nnz.nnz) AS entries FROM fold JOIN spans USING (label) JOIN nnz USING (label) WHERE fold.role <> 'reference' GROUP BY 1, 2"))
+def iterate_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Each shard in turn with its groups: entries of each group, by its local rows."""
+    out = None
+    for number, slices, cells in T.stored(spark, d).group_shards():
+        here = cells.join(F.broadcast(slices), (F.col("row_id") >= F.col("lo")) & (F.col("row_id") < F.col("hi"))).groupBy("label").agg(F.count(F.lit(1)).alias("entries"))
+        here = here.select(F.lit(number).alias("shard"), "label", "entries")
+        out = here if out is None else out.union(here)
+    return out
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS row_id, o_orderstatus = 'F' AS is_ref FROM orders")
+def reference_mask(spark: SparkSession, d: str) -> DataFrame:
+    """A reference by a condition on rows."""
+    obs = T.numbered_obs(spark, d)
+    return layout.with_reference(obs, F.col("o_orderstatus") == "F", label="o_orderpriority", position="row_id").select("row_id", "is_ref")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS row_id, o_orderpriority IN ('1-URGENT', '5-LOW') AS is_ref FROM orders")
+def reference_labels(spark: SparkSession, d: str) -> DataFrame:
+    return layout.with_reference(T.numbered_obs(spark, d), ["5-LOW", "1-URGENT"], label="o_orderpriority", position="row_id").select("row_id", "is_ref")
+
+
+@query(f"WITH {MAT} SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY col_id) - 1 AS BIGINT) AS k, col_id FROM x")
+def gaps_inverted(spark: SparkSession, d: str) -> DataFrame:
+    return structure.columns_from_gaps(structure.delta_gaps(shown(T.stored(spark, d).family())))
+
+
 # --- structure
 
 @query(f"WITH {LAY}, {ENT}, {NNZ} SELECT row_id, nnz FROM nnz")
@@ -201,10 +309,13 @@ def row_digest(spark: SparkSession, d: str) -> DataFrame:
     return structure.row_digest(T.matrix(spark, d))
 
 
-@query("SELECT count(*) >= 0 AS ok FROM lineitem")
+@query(f"WITH {MAT}, c AS (SELECT row_id, list(CAST(col_id AS VARCHAR) || ':' || CAST(value AS VARCHAR) ORDER BY col_id) AS t FROM x GROUP BY row_id) SELECT row_id, sha256(array_to_string(t, ',')) AS sha256, row_id >= 10 AS ok FROM c")
 def verify_payload(spark: SparkSession, d: str) -> DataFrame:
-    x = T.matrix(spark, d)
-    return structure.verify(x, runtime.saved(structure.row_digest(x)))
+    """Digests that were written with an archive against those of its entries, of which the first ten rows' were changed since."""
+    a = T.stored(spark, d)
+    now = structure.row_digest(a.family().withColumn("value", F.when(F.col("row_id") < 10, F.col("value") + 1).otherwise(F.col("value"))))
+    then = a.table("digests")
+    return then.join(now.withColumnRenamed("sha256", "now"), "row_id").select("row_id", "sha256", (F.col("now") == F.col("sha256")).alias("ok"))
 
 
 # --- packing
@@ -248,15 +359,16 @@ def split_even_shards(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {LAY}, {ENT}, {NNZ}, p AS (SELECT row_id, coalesce(sum(nnz) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS indptr FROM nnz),
-b AS (SELECT indptr // 1000 AS b, min(row_id) AS lo, max(row_id) + 1 AS hi FROM p GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY lo) - 1 AS BIGINT) AS block, lo, hi FROM b""")
+b AS (SELECT indptr // 500 AS b, min(row_id) AS lo, max(row_id) + 1 AS hi FROM p GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY lo) - 1 AS BIGINT) AS block, lo, hi FROM b""")
 def plan_blocks(spark: SparkSession, d: str) -> DataFrame:
     return structure.blocks(indptr(spark, d), most=1000)
 
 
-@query("""WITH s AS (SELECT DISTINCT p_partkey // 10 AS shard FROM part WHERE p_partkey // 10 % 7 <> 3), r AS (SELECT shard, shard - row_number() OVER (ORDER BY shard) AS run FROM s),
+@query("""WITH s AS (SELECT DISTINCT l_partkey + l_suppkey AS shard FROM lineitem WHERE l_quantity = 50), r AS (SELECT shard, shard - row_number() OVER (ORDER BY shard) AS run FROM s),
 c AS (SELECT shard, run, (row_number() OVER (PARTITION BY run ORDER BY shard) - 1) // 4 AS chunk FROM r) SELECT CAST(dense_rank() OVER (ORDER BY run, chunk) - 1 AS BIGINT) AS batch, shard FROM c""")
 def form_batches(spark: SparkSession, d: str) -> DataFrame:
-    shards = T.read(spark, d, "part", "p_partkey").select(F.floor(F.col("p_partkey") / 10).alias("shard")).where(F.col("shard") % 7 != 3).distinct()
+    """Numbers with gaps of their own: sums of part and supplier keys of the largest orders."""
+    shards = T.read(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_quantity").where("l_quantity = 50").select((F.col("l_partkey") + F.col("l_suppkey")).alias("shard")).distinct()
     return layout.batches(shards, 4)
 
 
@@ -315,12 +427,13 @@ def tiling_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH last AS (SELECT l_orderkey AS row_id, l_partkey AS col_id, arg_max(l_extendedprice, l_shipdate::VARCHAR || lpad(l_linenumber::VARCHAR, 4, '0') || l_extendedprice::DECIMAL(18,2)::VARCHAR) AS value FROM lineitem GROUP BY 1, 2)
-SELECT o_orderkey AS row_id, c AS col_id, coalesce(value, 0) AS value FROM orders CROSS JOIN (SELECT unnest([1, 5, 8]) AS c) LEFT JOIN last ON o_orderkey = row_id AND c = col_id""")
+SELECT o_orderkey AS row_id, c AS col_id, coalesce(value, 0) AS value FROM orders CROSS JOIN (SELECT CAST(p_partkey AS INTEGER) AS c FROM part WHERE p_retailprice = (SELECT max(p_retailprice) FROM part)) LEFT JOIN last ON o_orderkey = row_id AND c = col_id""")
 def csr_to_dense(spark: SparkSession, d: str) -> DataFrame:
     x = T.read(spark, d, "lineitem")
     k = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.lpad(F.col("l_linenumber").cast("string"), 4, "0"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
     x = x.select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_extendedprice").alias("value"), k.alias("k"))
-    columns = T.read(spark, d, "part", "p_partkey").where(F.col("p_partkey").isin(1, 5, 8))
+    parts_ = T.read(spark, d, "part", "p_partkey", "p_retailprice")
+    columns = parts_.join(F.broadcast(parts_.agg(F.max("p_retailprice").alias("p_retailprice"))), "p_retailprice").select(F.col("p_partkey").alias("col_id"))
     return structure.dense_cells(x, T.obs(spark, d).select(F.col("o_orderkey").alias("row_id")), columns).select("row_id", F.col("col_id").cast("int").alias("col_id"), "value")
 
 
@@ -348,9 +461,50 @@ def concat(spark: SparkSession, d: str) -> DataFrame:
     return parts(spark, d).select("row_id", "o_orderkey", "part")
 
 
-@query(f"WITH {PARTS} SELECT row_id, o_orderpriority = '3-MEDIUM' AS is_ref FROM n")
+def joined(spark: SparkSession, d: str, **options) -> archive.Archive:
+    """Two archives, of the finished orders (reference F's urgent ones) and of the others, as one, grouped by priority."""
+    key = (spark.sparkContext.applicationId, d, *options)
+    if key not in _JOINED:
+        m, made = T.source(spark, d), []
+        for k, here in enumerate((F.col("o_orderstatus") == "F", F.col("o_orderstatus") != "F")):
+            rows = runtime.saved(runtime.numbered(m.obs.where(here).withColumnRenamed("row_id", "was"), [F.col("was")], "row_id"))
+            perm = rows.select("was", "row_id")
+            mine = lambda df, *c, perm=perm: archive.moved(df, perm, *c)
+            part = archive.Matrix(rows.drop("was"), m.var, {"x": mine(m.families["x"], "row_id")}, "int64", obsm={"totals": mine(m.obsm["totals"], "row_id")}, varm=m.varm, obsp={"next": mine(m.obsp["next"], "src", "dst")}, uns=m.uns)
+            made.append(archive.write(spark, f"{runtime.shared_dir(spark)}/part{k}-{uuid.uuid4().hex}", part, group_by="o_orderpriority", reference=T.REFERENCE))
+        path = f"{runtime.shared_dir(spark)}/joined-{uuid.uuid4().hex}"
+        archive.concat(spark, made, path, **options)
+        _JOINED[key] = path
+    return archive.open_(spark, _JOINED[key])
+
+
+_JOINED: dict = {}
+#: Each part in its own layout, one after the other, then in the layout of the whole.
+JOINED = f"""part AS (SELECT o_orderkey, o_totalprice, o_orderpriority, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END AS part FROM orders),
+lay AS (SELECT o_orderkey AS pos, o_totalprice, o_orderpriority AS label, part, CAST(row_number() OVER (ORDER BY o_orderpriority <> '3-MEDIUM', o_orderpriority, part, o_orderkey) - 1 AS BIGINT) AS row_id FROM part)"""
+
+
+@query(f"WITH {JOINED} SELECT row_id, pos AS o_orderkey, label, label = '3-MEDIUM' AS is_ref FROM lay")
 def concat_reference(spark: SparkSession, d: str) -> DataFrame:
-    return parts(spark, d).select("row_id", F.col("o_orderpriority").isin(T.REFERENCE).alias("is_ref"))
+    """The reference of each part, by its place there, leads the whole."""
+    return joined(spark, d).obs().select("row_id", "o_orderkey", "label", (F.col("role") == "reference").alias("is_ref"))
+
+
+@query(f"WITH {JOINED}, {ENT} SELECT row_id, col_id, value FROM ent JOIN lay USING (pos)")
+def concat_archives(spark: SparkSession, d: str) -> DataFrame:
+    return shown(joined(spark, d).family())
+
+
+@query(f"WITH {JOINED} SELECT row_id, [o_totalprice, pos::DOUBLE] AS vec FROM lay")
+def concat_obsm(spark: SparkSession, d: str) -> DataFrame:
+    return joined(spark, d).part("obsm", "totals").select("row_id", "vec")
+
+
+@query(f"""WITH {JOINED}, e AS (SELECT * FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NOT NULL)
+SELECT s.row_id AS src, t.row_id AS dst, b - a AS weight FROM e JOIN lay s ON s.pos = a JOIN lay t ON t.pos = b WHERE s.part = t.part""")
+def concat_obsp(spark: SparkSession, d: str) -> DataFrame:
+    """Block diagonal: edges within a part stay."""
+    return joined(spark, d).part("obsp", "next").select("src", "dst", "weight")
 
 
 @query(f"WITH {EDGES}, n AS (SELECT count(*) AS n FROM orders) SELECT src, dst, weight FROM edges UNION ALL SELECT src + n, dst + n, weight FROM edges, n")
@@ -402,7 +556,7 @@ def roundtrip_write_read(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LAY} SELECT row_id, lower(label) AS label FROM lay")
 def update_obs(spark: SparkSession, d: str) -> DataFrame:
     ds = dataset(spark, d)
-    ds.update("obs", ds.table("obs").withColumn("label", F.lower("label")))
+    ds.update("obs", ds.table("obs").withColumn("label", F.lower("label")), key="row_id")
     return ds.table("obs").select("row_id", "label")
 
 
@@ -418,3 +572,38 @@ def reencode(spark: SparkSession, d: str) -> DataFrame:
 def push_append_finalize(spark: SparkSession, d: str) -> DataFrame:
     rows = push.ingest(spark, f"{d}/events.parquet", ["event_id", "user_id"]).withColumn("row", F.floor(F.col("event_id") / 10))
     return push.finish(rows, row="row", col="user_id")
+
+
+#: The line items of stretches of a thousand order keys, as blocks of a thousand rows that are pushed one after the other.
+@query("SELECT l_orderkey AS row_id, l_partkey AS col_id, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY 1, 2")
+def push_blocks(spark: SparkSession, d: str) -> DataFrame:
+    x = runtime.saved(T.entries(spark, d))
+    last = x.agg(F.max("pos")).first()[0]
+    step = last // 3 + 1
+    with push.PushWriter(spark, f"{runtime.shared_dir(spark)}/pushed-{uuid.uuid4().hex}", n_vars=T.read(spark, d, "part", "p_partkey").count(), value_dtype="uint16") as w:
+        for lo in range(0, last + 1, step):
+            here = x.where((F.col("pos") >= lo) & (F.col("pos") < lo + step))
+            w.add_block(step, here.select((F.col("pos") - lo).alias("row_id"), "col_id", "value"))
+        obs = spark.range(w.n_obs).select(F.col("id").alias("row_id"))
+        a = w.finalize(obs=obs, var=T.read(spark, d, "part", "p_partkey").select(F.col("p_partkey").alias("col_id")))
+    return shown(a.family())
+
+
+@query("SELECT l_orderkey AS row_id, l_partkey AS col_id, CAST(max(l_quantity) AS FLOAT) AS quantity, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2")
+def families_side_by_side(spark: SparkSession, d: str) -> DataFrame:
+    """Two families put together again, cell by cell."""
+    li = T.read(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    cell = lambda v: li.select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col(v).alias("value"))
+    out = combine.side_by_side(combine.families({"raw": cell("l_quantity"), "layer:price": cell("l_extendedprice")}), ["raw", "layer:price"])
+    return out.select("row_id", "col_id", F.col("raw").cast("float").alias("quantity"), F.col("layer_price").alias("price"))
+
+
+@query("SELECT l_orderkey AS row_id, l_partkey AS col_id, CAST(max(l_extendedprice) AS FLOAT) AS value FROM lineitem GROUP BY 1, 2")
+def write_float(spark: SparkSession, d: str) -> DataFrame:
+    """Prices are no counts, so the writer falls back to float; float32 is asked for, and lossy at that."""
+    li = T.read(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_extendedprice")
+    x = li.groupBy(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id")).agg(F.max("l_extendedprice").cast("float").alias("value"))
+    n = x.agg(F.max("row_id")).first()[0] + 1
+    m = archive.Matrix(spark.range(n).select(F.col("id").alias("row_id")), T.read(spark, d, "part", "p_partkey").select(F.col("p_partkey").alias("col_id")), {"x": x}, "float32")
+    a = archive.write(spark, f"{runtime.shared_dir(spark)}/float-{uuid.uuid4().hex}", m)
+    return a.family().select("row_id", "col_id", "value")
