@@ -29,11 +29,13 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm")).withColumn("h", F.xxhash64("norm"))
     hot = common.hot_values(base, "h", rows=docs.count(), share=1 / (4 * n))
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
-    dealt = base.select(
-        "doc_id", "norm", F.substring("norm", 1, prefix_chars).alias("prefix"), "h",
-        F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(2 * n))).otherwise(F.lit(0)).cast("long").alias("sub"),
-    ).repartitionByRange(n, "prefix", "h", "sub")
-    place = ["prefix", "h", "sub"]
+    dealt = base.select("doc_id", "norm", F.substring("norm", 1, prefix_chars).alias("prefix"), "h")
+    place = ["prefix", "h"]
+    if hot:
+        dealt = dealt.withColumn("sub", F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(2 * n))).otherwise(F.lit(0)).cast("long"))
+        place.append("sub")
+    # the windows below are over these columns, so they stand on the ranges as they are
+    dealt = dealt.repartitionByRange(n, *place)
     w = Window.partitionBy(*place).orderBy(F.col("norm"), F.col("doc_id").asc_nulls_last())
     fresh = F.lag("norm").over(w).isNull() | (F.lag("norm").over(w) != F.col("norm"))
     runs = (
