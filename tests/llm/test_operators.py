@@ -343,17 +343,27 @@ def test_top_k(spark):
     for r in topk.top_k(topk.integer_vectors(df, "vec_id", "embedding"), block_rows=64).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     q = np.floor(64 * v.astype(float)).astype(int)
-    assert dict(got) == {i: sorted(((j, int(q[i] @ q[j])) for j in range(300) if j != i), key=lambda x: (-x[1], x[0]))[:20] for i in range(0, 300, 20)}
+    own = [*range(300), 20]  # the row that repeats is a candidate of its own
+    assert dict(got) == {i: sorted(((j, int(q[i] @ q[j])) for j in own if j != i), key=lambda x: (-x[1], x[0]))[:20] for i in range(0, 300, 20)}
+    short = spark.createDataFrame([(k, [float(k)] * (2 + k % 2)) for k in range(30)] + [(40 + k, [7.0, 7.0]) for k in range(60)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_k(topk.integer_vectors(short, "vec_id", "embedding"), k=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {0: [2, 4, 6, 8, 10], 20: [28, 26, 24, 22, 18], 40: [28, 26, 24, 22, 20], 60: [28, 26, 24, 22, 20], 80: [28, 26, 24, 22, 20]}
     assert topk.top_k(topk.integer_vectors(df.limit(0), "vec_id", "embedding")).count() == 0
 
 
 def test_bounds_spare_reads():
+    """Bounds hold the score, keep the k best, and leave most vectors out."""
     rng = np.random.default_rng(6)
     v = rng.integers(-40, 40, (2000, 16))
     edges = np.quantile(v.astype(float), np.linspace(0, 1, 65), axis=0).T
-    reads = []
-    topk.scan(v[:20], np.arange(20), np.arange(2000), topk.approximate(v, edges), v, edges, 10, reads)
-    assert max(reads) < 1000
+    q, c, low, up = topk.bounded(v[:20], np.arange(20), np.arange(2000), topk.approximate(v, edges), edges, 10)
+    score = (v[q] * v[c]).sum(axis=1)
+    assert (low <= score).all() and (score <= up).all() and len(q) < 20 * 500 and (q != c).all()
+    for i in range(20):
+        others = np.delete(np.arange(2000), i)
+        assert set(others[np.argsort(-(v[others] @ v[i]), kind="stable")[:10]]) <= set(c[q == i])
 
 
 def test_toxicity(spark, empty):
