@@ -4,7 +4,7 @@ Each permutation of a document's shingles gives two values, its minimum and its
 hash evaluations. Documents that agree on all values of a band meet in a bucket. Links are confirmed on the full shingle sets:
 first between each document and the smallest one that it meets, then, in buckets that still hold several components, between all
 members, a bounded block of them at a time. Buckets beyond that bound are put together by the families that they belong to, and a
-family is dealt out by pairs of blocks.
+family is dealt out by pairs of blocks: first one document of each of its components, then all if several components are left.
 """
 
 from __future__ import annotations
@@ -194,8 +194,22 @@ def open_buckets(buckets: DataFrame, roots: DataFrame, known: DataFrame, percent
     least = large.groupBy("key").agg(F.min("doc_id").alias("b"))
     family = components(common.saved(large.select("key", F.col("doc_id").alias("a")).join(least, "key").where("a <> b").select("a", "b").distinct()))
     each = large.select("doc_id", "root").distinct().join(family.select(F.col("node").alias("doc_id"), F.col("root").alias("key")), "doc_id")
-    each = each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-    return in_blocks(small.select("key", "doc_id", "root", "n").union(each.select("key", "doc_id", "root", "n")), known, percent)
+    each = common.saved(each.select("key", "doc_id", "root"))
+    # one document for each component first; all of them only where a family still holds several
+    heads = common.saved(each.groupBy("key", "root").agg(F.min("doc_id").alias("doc_id")))
+    first = common.saved(in_blocks(counted(heads), known, percent))
+    ends = [first.join(heads.select(F.col("doc_id").alias(c), F.col("root").alias(f"r{c}")), c) for c in "ab"]
+    met = ends[0].join(ends[1], ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    now = components(met).select(F.col("node").alias("root"), F.col("root").alias("now"))
+    each = each.join(now, "root", "left").select("key", "doc_id", F.coalesce("now", "root").alias("root"))
+    still = each.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rest = common.saved(each.join(still, "key"))
+    return first.union(in_blocks(small.select("key", "doc_id", "root", "n").union(counted(rest)), known, percent))
+
+
+def counted(members: DataFrame) -> DataFrame:
+    """members(key, doc_id, root) with n, how many a key has."""
+    return members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").select("key", "doc_id", "root", "n")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
