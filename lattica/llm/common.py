@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(base)
     return base
@@ -44,15 +46,21 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
-def perhaps_in(df: DataFrame, key: str, members: DataFrame, bits: int = 26) -> DataFrame:
-    """The rows of df whose 64-bit hash `key` may be in the one column of members: all that are, and the fewer others the fewer members.
+def free(*tables: DataFrame) -> None:
+    """Removes saved() tables that nothing reads any more: what came of them is saved itself."""
+    for df in tables:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    For use before a join that decides, so that most rows needn't be shuffled. Broadcast are at most 2 ** (bits - 6) rows of 16 bytes,
-    whatever the input: one for each 64 places of a bitmap.
-    """
+
+def _marked(df: DataFrame, key: str, members: DataFrame, bits: int) -> DataFrame:
+    """df with _in: whether its 64-bit hash `key` may be in the one column of members. Broadcast are at most 2 ** (bits - 6) rows of 16
+    bytes, whatever the input: one for each 64 places of a bitmap."""
     def spot(c: str) -> tuple[Column, Column]:
         at = F.pmod(F.col(c), F.lit(1 << bits))
         return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
@@ -60,7 +68,21 @@ def perhaps_in(df: DataFrame, key: str, members: DataFrame, bits: int = 26) -> D
     word, mask = spot(members.columns[0])
     words = members.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
     word, mask = spot(key)
-    return df.withColumn("_word", word).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(mask) != 0).select(*df.columns)
+    out = df.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
+    return out.withColumn("_in", F.coalesce(F.col("_bits").bitwiseAND(mask) != 0, F.lit(False)))
+
+
+def perhaps_in(df: DataFrame, key: str, members: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of df whose 64-bit hash `key` may be in the one column of members: all that are, and the fewer others the fewer members.
+
+    For use before a join that decides, so that most rows needn't be shuffled.
+    """
+    return _marked(df, key, members, bits).where("_in").select(*df.columns)
+
+
+def surely_not_in(df: DataFrame, key: str, members: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of df that perhaps_in() leaves out."""
+    return _marked(df, key, members, bits).where("not _in").select(*df.columns)
 
 
 def hot_values(df: DataFrame, key: str, *, rows: int, share: float) -> list:

@@ -273,7 +273,7 @@ def solved(cut: DataFrame, most_bytes: int = 1 << 21) -> DataFrame:
 def numbered_docs(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, row, whole, n_bytes, doc, least: each document's number, and that of the first with the same text."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    light = docs.select("doc_id", F.xxhash64("text").alias("row"), F.sha2(raw, 256).alias("whole"), F.octet_length(raw).cast("long").alias("n_bytes"))
+    light = docs.select("doc_id", common.row_key().alias("row"), F.sha2(raw, 256).alias("whole"), F.octet_length(raw).cast("long").alias("n_bytes"))
     each = numbered(light.groupBy("doc_id", "row", "whole").agg(F.max("n_bytes").alias("n_bytes")), [F.col("doc_id").asc_nulls_last(), F.col("whole")], "doc")
     each = common.saved(each)
     return common.saved(each.join(each.groupBy("whole").agg(F.min("doc").alias("least")), "whole"))
@@ -286,15 +286,19 @@ def same_row(left: str, right: str):
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(found, each): solved() for the documents that are the first with their text; numbered_docs()."""
     each = numbered_docs(docs)
-    raw = docs.select("doc_id", F.xxhash64("text").alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+    raw = docs.select("doc_id", common.row_key().alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
     firsts = each.where("doc = least").select("doc_id", "row", "doc")
     all_ = common.saved(anchor_rows(raw))
     often = common.saved(all_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     some = common.perhaps_in(all_, "anchor", often.select("anchor")).join(often, "anchor")
     hits = some.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "n", "first", "windows")).alias("hits"))
-    hits = hits.alias("l").join(firsts.alias("r"), same_row("l", "r")).select("r.*", "hits")
-    cut = raw.alias("l").join(hits.alias("r"), same_row("l", "r")).select("doc", "raw", "hits")
-    return common.saved(solved(segments(cut))), each
+    hits = common.saved(hits.alias("l").join(firsts.alias("r"), same_row("l", "r")).select("r.*", "hits"))
+    common.free(all_, often)
+    # texts without such an anchor, and copies, stay where they are
+    cut = common.perhaps_in(raw, "row", hits.select("row")).alias("l").join(hits.alias("r"), same_row("l", "r")).select("doc", "raw", "hits")
+    found = common.saved(solved(segments(cut)))
+    common.free(hits)
+    return found, each
 
 
 def removable(found: DataFrame) -> DataFrame:
@@ -345,10 +349,15 @@ def remove(docs: DataFrame) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     found, each = find(docs.select("doc_id", "text"))
     spans = common.saved(removable(found))
+    common.free(found)
     copy = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     later = each.where((F.col("doc") != F.col("least")) & (F.col("n_bytes") >= LENGTH)).select("doc", copy.alias("spans"))
-    spans = each.select("doc", "doc_id", "row").join(spans.union(later), "doc").select("doc_id", "row", "spans")
-    both = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).alias("l").join(spans.alias("r"), same_row("l", "r"), "left").select("l.doc_id", "text", "spans")
+    spans = common.saved(each.select("doc", "doc_id", "row").join(spans.union(later), "doc").select("doc_id", "row", "spans"))
+    # texts that lose nothing stay where they are
+    mine = docs.select("doc_id", "text", common.row_key().alias("row"))
+    some = common.perhaps_in(mine, "row", spans.select("row"))
+    both = some.alias("l").join(spans.alias("r"), same_row("l", "r"), "left").select("l.doc_id", "text", "spans")
+    both = both.union(common.surely_not_in(mine, "row", spans.select("row")).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType)))
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
