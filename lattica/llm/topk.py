@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS = 6
+BITS = 8
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 64) -> DataFrame:
