@@ -208,7 +208,7 @@ def segments(texts: DataFrame) -> DataFrame:
 
 def solved(cut: DataFrame, most_bytes: int = 1 << 21) -> DataFrame:
     """From segments: kind 0, an occurrence (doc, start, stop) of the maximal repeat group_id, length bytes long, kind 1 if it is its first
-    (c1: a hash of the places of all relative to the first, c2: how many they are); kind 2, the first occurrence of a window (c1, c2) within
+    (with c1, a hash of the places of all relative to the first, and c2, how many they are); kind 2, the first occurrence of a window (c1, c2) within
     one part of an anchor that is dealt out in several."""
     dealt = cut.repartition(common.partitions(cut.sparkSession), "anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "at")
 
@@ -222,7 +222,7 @@ def solved(cut: DataFrame, most_bytes: int = 1 << 21) -> DataFrame:
 
         def table(kind, doc, start, length, group=None, c1=None, c2=None):
             cols = [np.asarray(kind, np.int32), doc, start, start + length, length, group, c1, c2]
-            return pa.record_batch([pa.nulls(len(doc), t) if c is None else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            return pa.record_batch([pa.nulls(len(doc), t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         def solve(held):
             nonlocal number
@@ -239,8 +239,8 @@ def solved(cut: DataFrame, most_bytes: int = 1 << 21) -> DataFrame:
                 edge = np.flatnonzero(first)
                 times = np.diff(np.append(edge, len(group)))
                 apart = mixed(d.view(U) ^ mixed((p - np.repeat(p[edge], times)).view(U)))
-                c1 = np.repeat(np.add.reduceat(apart, edge).view(np.int64), times)
-                yield table(first, d, p, length, group + number, c1, np.repeat(times, times))
+                about = [pa.array(np.repeat(c, times), mask=~first) for c in (np.add.reduceat(apart, edge).view(np.int64), times)]
+                yield table(first, d, p, length, group + number, *about)
                 number += int(group[-1]) + 1
             split = n > TOGETHER
             if split.any():
