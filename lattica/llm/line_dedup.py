@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
+#: Rounds in which one pair between two components is tried before all are.
+ROUNDS = 6
 #: Lines of a bucket that are compared with each other, at most 28 pairs.
 SMALL = 8
 #: Six bands of three find a pair at similarity 0.8 with probability 0.986, at 0.85 with 0.997, at 0.9 with 0.9996.
@@ -80,11 +82,11 @@ def confirmed(pairs: DataFrame, known: DataFrame, similarity: float, width: int)
     return p.where(overlapping(F.col("nx"), F.col("ny"), shared, similarity)).select("a", "b")
 
 
-def prefix_pairs(open_: DataFrame, similarity: float, width: int) -> DataFrame:
-    """open_(id, root, norm) -> pairs (a, b, ra, rb) of different roots ra and rb: all that have the similarity, and few others.
+def prefixes(open_: DataFrame, similarity: float, width: int) -> DataFrame:
+    """open_(id, root, norm) -> h, id, root, n, rest: the first shingles of each line, n shingles long, of which `rest` stand from h on.
 
     Sets are put in the order of rising frequency. Of n shingles, similar sets share one of the first n - ceil(similarity * n) + 1; where
-    that is the first they share, no more than the rest of either set can be shared, which is checked in the join.
+    that is the first they share, no more than the rest of either set can be shared.
     """
     each = common.saved(open_.select("id", F.explode(F.array_distinct(shingle_list(F.col("norm"), width))).alias("h")))
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
@@ -94,27 +96,70 @@ def prefix_pairs(open_: DataFrame, similarity: float, width: int) -> DataFrame:
     ranked = shared.join(sizes, "id").join(open_.select("id", "root"), "id").withColumn("alone", F.col("n") - F.size("inorder"))
     prefix = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1).cast("int")
     first = ranked.select("id", "root", "n", "alone", F.posexplode(F.slice("inorder", F.lit(1), F.greatest(prefix - F.col("alone"), F.lit(0)).cast("int"))).alias("at", "one"))
-    first = common.saved(first.select(F.col("one.h").alias("h"), "id", "root", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")))
+    return common.saved(first.select(F.col("one.h").alias("h"), "id", "root", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")))
+
+
+def prefix_pairs(first: DataFrame, similarity: float) -> DataFrame:
+    """prefixes() -> pairs (a, b, ra, rb) of different roots ra and rb: all that have the similarity, and few others."""
+    mixed = first.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    first = common.saved(first.join(mixed, "h"))
     l, r = first.alias("l"), first.alias("r")
-    enough = overlapping(F.col("l.n"), F.col("r.n"), F.least("l.rest", "r.rest") + F.lit(1e-6), similarity)
-    both = l.join(r, (F.col("l.h") == F.col("r.h")) & (F.col("l.id") > F.col("r.id")) & (F.col("l.root") != F.col("r.root")) & enough)
-    return both.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.root").alias("ra"), F.col("r.root").alias("rb")).distinct()
+    # of two sets the smaller shares one of its first n - ceil(2 similarity / (1 + similarity) * n) + 1, which are fewer
+    later = (F.col("l.n") > F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.id") > F.col("r.id")))
+    early = F.col("r.rest") >= F.ceil(F.col("r.n") * (2 * similarity / (1 + similarity)) - 1e-6)
+    both = l.join(r, (F.col("l.h") == F.col("r.h")) & later & early & (F.col("l.root") != F.col("r.root")) & may_be_alike("l", "r", similarity))
+    above = F.col("l.id") > F.col("r.id")
+    pair = [F.when(above, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(n) for c, names in (("id", "ab"), ("root", ("ra", "rb"))) for (x, y), n in zip((("l", "r"), ("r", "l")), names, strict=True)]
+    return both.select(*pair).distinct()
+
+
+def may_be_alike(l: str, r: str, similarity: float) -> Column:
+    return overlapping(F.col(f"{l}.n"), F.col(f"{r}.n"), F.least(f"{l}.rest", f"{r}.rest") + F.lit(1e-6), similarity)
+
+
+def renamed(df: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
+    """df with the roots in `columns` as those that components() has since found for them."""
+    for c in columns:
+        df = df.join(roots.select(F.col("node").alias(c), F.col("root").alias("_now")), c, "left").withColumn(c, F.coalesce("_now", c)).drop("_now")
+    return df
+
+
+def tried(pairs: DataFrame, known: DataFrame, turn: int, similarity: float, width: int) -> DataFrame:
+    """Of pairs(a, b, ra, rb) one between two components, another one at each turn, if it is confirmed."""
+    by = F.struct(F.xxhash64(F.lit(turn), "a", "b").alias("by"), "a", "b", "ra", "rb")
+    one = common.saved(pairs.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(by).alias("one")).select("one.a", "one.b", "one.ra", "one.rb"))
+    return common.saved(one.join(confirmed(one.select("a", "b"), known, similarity, width), ["a", "b"]))
+
+
+def joined_up(first: DataFrame, known: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """(links, first with the roots that follow from them): a few rounds in which the lines of a shingle are compared with one of them.
+
+    Most of a dense family is one component by then, so prefix_pairs() has few pairs of different components left.
+    """
+    links = None
+    for k in range(ROUNDS):
+        lead = first.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("by"), "id", "root", "n", "rest")).alias("one"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        both = first.alias("l").join(lead.where("lo <> hi").select("h", "one.*").alias("r"), "h").where((F.col("l.root") != F.col("r.root")) & may_be_alike("l", "r", similarity))
+        sure = tried(both.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.root").alias("ra"), F.col("r.root").alias("rb")), known, k, similarity, width)
+        links = sure.select("a", "b") if links is None else links.union(sure.select("a", "b"))
+        if sure.isEmpty():
+            break
+        now = components(sure.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        first = common.saved(renamed(first, now, "root"))
+    return links, first
 
 
 def linked(pairs: DataFrame, known: DataFrame, similarity: float, width: int) -> DataFrame:
-    """pairs(a, b, ra, rb) -> links (a, b) that connect what is similar: first one pair between two components, twice, then all that are left."""
+    """pairs(a, b, ra, rb) -> links (a, b) that connect what is similar: one pair between two components, a few times, then all that are left."""
     found = None
-    for last in (False, False, True):
-        tried = pairs if last else pairs.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("a", "b", "ra", "rb")).alias("one")).select("one.*")
-        sure = confirmed(tried.select("a", "b"), known, similarity, width)
-        if last:
-            return sure if found is None else found.union(sure)
-        sure = common.saved(tried.join(sure, ["a", "b"]))
+    for k in range(ROUNDS // 2):
+        sure = tried(pairs, known, k, similarity, width)
         found = sure.select("a", "b") if found is None else found.union(sure.select("a", "b"))
+        if sure.isEmpty():
+            break
         roots = components(sure.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        for r in ("ra", "rb"):
-            pairs = pairs.join(roots.select(F.col("node").alias(r), F.col("root").alias("_now")), r, "left").withColumn(r, F.coalesce("_now", r)).drop("_now")
-        pairs = common.saved(pairs.where("ra <> rb").select("a", "b", "ra", "rb"))
+        pairs = common.saved(renamed(pairs, roots, "ra", "rb").where("ra <> rb").select("a", "b", "ra", "rb"))
+    return found.union(confirmed(pairs.select("a", "b"), known, similarity, width))
 
 
 def banded(each: DataFrame, width: int) -> DataFrame:
@@ -150,8 +195,9 @@ def near_links(each: DataFrame, distinct: DataFrame, similarity: float, width: i
     small = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") > F.col("r.id")) & (F.col("l.root") != F.col("r.root")))
     small = small.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.root").alias("ra"), F.col("r.root").alias("rb"))
     open_ = common.saved(now.where(F.col("n") > SMALL).select("id", "root").distinct().join(known.drop("n"), "id"))
-    pairs = common.saved(small.union(prefix_pairs(open_, similarity, width)).distinct())
-    return first.union(linked(pairs, known, similarity, width))
+    more, heads = joined_up(prefixes(open_, similarity, width), known, similarity, width)
+    pairs = common.saved(small.union(prefix_pairs(heads, similarity)).distinct())
+    return first.union(more).union(linked(pairs, known, similarity, width))
 
 
 def settled(docs: DataFrame, *, similarity: float = 0.8, width: int = 8) -> DataFrame:

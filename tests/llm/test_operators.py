@@ -409,13 +409,17 @@ def test_line_prefix_pairs(spark):
     sets = {i: {x[k : k + 8] for k in range(max(1, len(x) - 7))} for i, x in lines.items()}
     df = spark.createDataFrame([(i, i, x, len(sets[i])) for i, x in lines.items()], "id long, root long, norm string, n int")
     alike = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    pairs = line_dedup.prefix_pairs(df, 0.8, 8)
+    first = line_dedup.prefixes(df, 0.8, 8)
+    pairs = line_dedup.prefix_pairs(first, 0.8)
     got = {(a, b) for a, b, ra, rb in pairs.collect() if (a, b) == (ra, rb)}
     assert alike and alike <= got
     assert not {p for p in got if p[0] < 40}
     assert {tuple(r) for r in line_dedup.confirmed(pairs.select("a", "b"), df, 0.8, 8).collect()} == alike
     links, want = ({r["node"]: r["root"] for r in components.components(e).collect()} for e in (line_dedup.linked(pairs, df, 0.8, 8), spark.createDataFrame(list(alike), "a long, b long")))
     assert links == want
+    more, heads = line_dedup.joined_up(first, df, 0.8, 8)
+    rest = line_dedup.linked(line_dedup.prefix_pairs(heads, 0.8), df, 0.8, 8)
+    assert {r["node"]: r["root"] for r in components.components(more.union(rest)).collect()} == want
 
 
 def test_line_dedup_sees_every_character(spark):
