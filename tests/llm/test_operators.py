@@ -394,6 +394,38 @@ def test_pipeline_stages_are_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "mixing", "packing"]
 
 
+def test_pipeline_stage_by_stage(spark, docs, tmp_path):
+    """Each stage against what it should do with its own input, on the table with every odd case; run() gives the last stage's rows."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    some = docs.withColumn("text", F.when(F.col("doc_id").isin(8, 9), F.concat("text", F.lit(" vileword vileword2"))).otherwise(F.col("text")))
+    some = some.unionByName(spark.range(300).select((F.col("id") + 1000).alias("doc_id"), F.concat(F.lit("plain text "), F.sha2(F.col("id").cast("string"), 256), F.when(F.col("id") % 3 == 0, " vileword vileword2").otherwise("")).alias("text"), F.lit("en").alias("lang"), F.lit("z").alias("source"), F.lit(9).cast("long").alias("n_chars"), F.lit(1).cast("long").alias("n"), F.lit("k").alias("key")))
+    some.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(300).select((F.col("id") + 1000).alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic")).write.parquet(str(tmp_path / "labels.parquet"))
+    now, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        now = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        kept.append(now.collect())
+        assert k == 4 or now.columns == some.columns
+    clean, lines, near, mix, packed = kept
+    assert {r["doc_id"] for r in some.collect()} - {r["doc_id"] for r in clean} == {8, 9, *range(1000, 1300, 3)}
+    assert Counter(r["doc_id"] for r in lines) == Counter(r["doc_id"] for r in clean)
+    seen = Counter(re.sub(GAP, " ", x).strip(" ").lower() for r in {r["doc_id"]: r for r in lines}.values() for x in (r["text"] or "").split("\n"))
+    assert all(n == 1 for x, n in seen.items() if x)
+    words = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").lower()) for r in near}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items() if w}
+    assert not [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert {r["doc_id"] for r in near} >= {1, 4, 5, 6, 7, 11, 12, 20, 40}
+    total = Counter()
+    for r in near:
+        total[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    taken = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in mix)
+    assert abs(taken - 1.5 * sum(total.values())) <= len(total)
+    t = tokenizer("byte_bpe_50k.json")
+    assert sum(r["length"] for r in packed) == sum(len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in mix)
+    assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == len(packed)
+
+
 def test_line_prefix_pairs(spark):
     """The prefix join loses no pair of the similarity and keeps out a family that is alike but under it."""
     rng = random.Random(5)
