@@ -1,12 +1,13 @@
 """From raw documents to packed sequences, each stage on what its predecessor kept.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's docs.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's docs. Null and
+empty texts pass every stage (packing makes them sequences' pieces of their end id alone). Rows without a doc_id, and rows that repeat one
+with other texts, are documents of their own; rows that repeat as a whole are kept, or go, together. Ties go to the smaller doc_id. Extra
+columns pass all stages but the last. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        path = f"{common.shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        now = common.saved(stage(spark, docs, sf_dir))
+        if before is not None:
+            common.free(before)
+        docs = before = now
     return docs
