@@ -96,7 +96,9 @@ def prefixes(open_: DataFrame, similarity: float, width: int) -> DataFrame:
     ranked = shared.join(sizes, "id").join(open_.select("id", "root"), "id").withColumn("alone", F.col("n") - F.size("inorder"))
     prefix = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1).cast("int")
     first = ranked.select("id", "root", "n", "alone", F.posexplode(F.slice("inorder", F.lit(1), F.greatest(prefix - F.col("alone"), F.lit(0)).cast("int"))).alias("at", "one"))
-    return common.saved(first.select(F.col("one.h").alias("h"), "id", "root", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")))
+    out = common.saved(first.select(F.col("one.h").alias("h"), "id", "root", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")))
+    common.free(each)
+    return out
 
 
 def prefix_pairs(first: DataFrame, similarity: float) -> DataFrame:
@@ -145,7 +147,9 @@ def joined_up(first: DataFrame, known: DataFrame, similarity: float, width: int)
         if sure.isEmpty():
             break
         now = components(sure.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        first = common.saved(renamed(first, now, "root"))
+        first, before = common.saved(renamed(first, now, "root")), first
+        if k:
+            common.free(before)
     return links, first
 
 
@@ -197,14 +201,16 @@ def near_links(each: DataFrame, distinct: DataFrame, similarity: float, width: i
     open_ = common.saved(now.where(F.col("n") > SMALL).select("id", "root").distinct().join(known.drop("n"), "id"))
     more, heads = joined_up(prefixes(open_, similarity, width), known, similarity, width)
     pairs = common.saved(small.union(prefix_pairs(heads, similarity)).distinct())
-    return first.union(more).union(linked(pairs, known, similarity, width))
+    out = common.saved(first.union(more).union(linked(pairs, known, similarity, width)))
+    common.free(known, met, buckets, active, now, open_, heads)
+    return out
 
 
 def settled(docs: DataFrame, *, similarity: float = 0.8, width: int = 8) -> DataFrame:
     """The rows of line_dedup() with `row`, which tells apart the texts of one doc_id."""
     each = common.saved(lines(docs))
     distinct = common.saved(banded(each, width))
-    roots = components(common.saved(near_links(each, distinct, similarity, width)))
+    roots = components(near_links(each, distinct, similarity, width))
     alike = distinct.select("id", "k1", "k2").join(roots.withColumnRenamed("node", "id"), "id").select("k1", "k2", "root")
     place = F.struct("doc_id", "line_no", "row").alias("place")
     single = each.select(place, "k1", "k2").groupBy("k1", "k2").agg(F.min("place").alias("place")).join(alike, ["k1", "k2"], "left")
@@ -213,7 +219,10 @@ def settled(docs: DataFrame, *, similarity: float = 0.8, width: int = 8) -> Data
     alone = single.where("root is null").select("k1", "k2", F.col("place").alias("stay"))
     stays = alone.union(single.join(least, "root").select("k1", "k2", F.col("least").alias("stay")))
     out = each.select("doc_id", "line_no", "row", place, "k1", "k2").join(stays, ["k1", "k2"])
-    return out.select("doc_id", "line_no", "row", F.col("stay.doc_id").alias("keep_doc"), F.col("stay.line_no").alias("keep_line"), (F.col("stay") == F.col("place")).alias("kept"))
+    common.free(distinct)
+    out = out.select("doc_id", "line_no", "row", F.col("stay.doc_id").alias("keep_doc"), F.col("stay.line_no").alias("keep_line"), (F.col("stay") == F.col("place")).alias("kept"))
+    out.uses = [each, single]
+    return out
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -229,7 +238,9 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """docs without the lines that don't stay; n_chars, where there is one, follows. No document goes, though its text may end up empty."""
-    gone = settled(docs, **options).where("not kept").groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
+    every = settled(docs, **options)
+    gone = common.saved(every.where("not kept").groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone")))
+    common.free(*every.uses)
     parts = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))

@@ -76,6 +76,11 @@ def laid_out(sized: DataFrame) -> DataFrame:
     return common.running_sum(df, ["source"], "bucket", [F.col("key"), F.col("doc_id"), F.col("tie")], F.col("size"), "at").drop("key", "bucket")
 
 
+def row_hashes() -> list[Column]:
+    """128 bits that tell rows apart by doc_id, source and text."""
+    return [F.xxhash64("doc_id", "source", "text").alias("hash"), F.xxhash64(F.lit("mix"), "doc_id", "source", "text").alias("other")]
+
+
 def mix(docs: DataFrame, *, slots: int = SLOTS, epochs: int = 2) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, first, again (words taken in the first and in later rounds), order, tie.
 
@@ -84,9 +89,9 @@ def mix(docs: DataFrame, *, slots: int = SLOTS, epochs: int = 2) -> DataFrame:
     source of its own, the last one. Repeated rows are documents of their own, told apart by `tie`. Extra columns aren't read. An empty
     table gives no rows.
     """
-    hashed = docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("hash"), word_count().alias("size"))
-    repeat = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("size"))
-    sized = common.saved(hashed.select("doc_id", "source", F.struct("hash", repeat.alias("repeat")).alias("tie"), "size"))
+    hashed = docs.select("doc_id", "source", *row_hashes(), word_count().alias("size"))
+    repeat = F.row_number().over(Window.partitionBy("hash", "other").orderBy("size"))
+    sized = common.saved(hashed.select("doc_id", "source", F.struct("hash", "other", repeat.alias("repeat")).alias("tie"), "size"))
     sizes = common.saved(sized.groupBy("source").agg(F.sum("size").cast("long").alias("size")))
     goal = common.saved(targets(sizes))
     total = goal.agg(F.sum("target")).first()[0] or 0.0
@@ -118,13 +123,14 @@ def mixed(docs: DataFrame, *, with_order: bool = False, **options) -> DataFrame:
 
     Rows come sorted in the order of the mix, by the slot in which they begin; with_order adds it as `slot` and `block`.
     """
-    takes = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("tie.hash").alias("_hash"), F.explode("order").alias("_take"), F.col("size").alias("_size"))
-    takes = takes.groupBy("_doc", "_hash", "_size").agg(F.collect_list("_take").alias("_takes"))
-    own = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["doc_id", "_key"])
-    rows = own.join(takes, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_hash"))).withColumn("_take", F.explode("_takes")).withColumn("_words", F.col("_take.words"))
+    takes = mix(docs, **options).where("taken > 0").select(F.col("tie.hash").alias("_hash"), F.col("tie.other").alias("_other"), F.explode("order").alias("_take"), F.col("size").alias("_size"))
+    takes = takes.groupBy("_hash", "_other", "_size").agg(F.collect_list("_take").alias("_takes"))
+    # one shuffle of the texts, on which the join and the removal of repeated rows both stand
+    own = docs.select("*", *(h.alias(f"_key{k}") for k, h in enumerate(row_hashes()))).repartition(common.partitions(docs.sparkSession), "_key0", "_key1").dropDuplicates(["_key0", "_key1"])
+    rows = own.join(takes, (F.col("_key0") == F.col("_hash")) & (F.col("_key1") == F.col("_other"))).withColumn("_take", F.explode("_takes")).withColumn("_words", F.col("_take.words"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col("_words") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), ""))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_words") >= F.col("_size"), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    rows = rows.withColumn("text", text).orderBy("_take.slot", "_take.block", "doc_id", "_key")
+    rows = rows.withColumn("text", text).orderBy("_take.slot", "_take.block", "doc_id", "_key0")
     return rows.select(*docs.columns, *([F.col("_take.slot").alias("slot"), F.col("_take.block").alias("block")] if with_order else []))

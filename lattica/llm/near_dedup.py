@@ -174,6 +174,7 @@ def near_dedup(docs: DataFrame, *, percent: int = 85, size: int = 5) -> DataFram
     known = common.saved(sets(docs.select("doc_id", "text").join(active.select("doc_id"), "doc_id"), size).dropDuplicates(["doc_id"]))
     links = common.saved(confirmed(active.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")), known, percent))
     links = common.saved(links.union(open_buckets(buckets, components(links), known, percent)))
+    common.free(known, buckets, active)
     found = components(links).select(F.col("node").alias("class_id"), "root")
     of_copy = classes.select("copy", "class_id").join(found, "class_id", "left").select("copy", F.coalesce("root", "class_id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "copy").join(of_copy, "copy", "left")
