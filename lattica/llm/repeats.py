@@ -137,6 +137,20 @@ def maximal_repeats(doc: np.ndarray, at: np.ndarray, count: np.ndarray, text: np
     return group, np.repeat(found[:, 0], members), d[by], p[by], first
 
 
+def covered(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, length) of the maximal runs that some spans cover."""
+    if not len(doc):
+        return doc, start, length
+    by = np.lexsort((start, doc))
+    doc, start, stop = doc[by], start[by], (start + length)[by]
+    # each document in a stretch of its own, so that one running maximum serves all
+    base = np.cumsum(np.append(0, doc[1:] != doc[:-1])) * (int(stop.max()) + 1)
+    reach = np.maximum.accumulate(base + stop)
+    fresh = np.flatnonzero(np.append(True, (base + start)[1:] > reach[:-1]))
+    last = np.append(fresh[1:], len(doc)) - 1
+    return doc[fresh], start[fresh], reach[last] - base[last] - start[fresh]
+
+
 def first_windows(doc: np.ndarray, at: np.ndarray, count: np.ndarray, text: np.ndarray):
     """(128 bits of the window, doc, position) of the first occurrence of each window of some segments."""
     size = count + LENGTH - 1
@@ -206,10 +220,11 @@ def segments(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, SEGMENT)
 
 
-def solved(cut: DataFrame, most_bytes: int = 1 << 21) -> DataFrame:
+def solved(cut: DataFrame, most_bytes: int = 1 << 21, *, places: bool = True) -> DataFrame:
     """From segments: kind 0, an occurrence (doc, start, stop) of the maximal repeat group_id, length bytes long, kind 1 if it is its first
     (with c1, a hash of the places of all relative to the first, and c2, how many they are); kind 2, the first occurrence of a window (c1, c2) within
-    one part of an anchor that is dealt out in several."""
+    one part of an anchor that is dealt out in several. Without `places`, kind 0 is a run (doc, start, stop) that repeats of one task cover
+    together, and there is no kind 1."""
     dealt = cut.repartition(common.partitions(cut.sparkSession), "anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "at")
 
     def work(batches: Iterator) -> Iterator:
@@ -235,7 +250,10 @@ def solved(cut: DataFrame, most_bytes: int = 1 << 21) -> DataFrame:
                 data = data[np.repeat(fresh, windows + LENGTH - 1)]
                 doc, at, windows, n = doc[fresh], at[fresh], windows[fresh], n[fresh]
             group, length, d, p, first = maximal_repeats(doc, at, windows, data)
-            if len(group):
+            if len(group) and not places:
+                d, p, size = covered(d[~first], p[~first], length[~first])
+                yield table(np.zeros(len(d)), d, p, size)
+            elif len(group):
                 edge = np.flatnonzero(first)
                 times = np.diff(np.append(edge, len(group)))
                 apart = mixed(d.view(U) ^ mixed((p - np.repeat(p[edge], times)).view(U)))
@@ -283,7 +301,7 @@ def same_row(left: str, right: str):
     return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.row") == F.col(f"{right}.row"))
 
 
-def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, *, places: bool = True) -> tuple[DataFrame, DataFrame]:
     """(found, each): solved() for the documents that are the first with their text; numbered_docs()."""
     each = numbered_docs(docs)
     raw = docs.select("doc_id", common.row_key().alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
@@ -296,7 +314,7 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     common.free(all_, often)
     # texts without such an anchor, and copies, stay where they are
     cut = common.perhaps_in(raw, "row", hits.select("row")).alias("l").join(hits.alias("r"), same_row("l", "r")).select("doc", "raw", "hits")
-    found = common.saved(solved(segments(cut)))
+    found = common.saved(solved(segments(cut), places=places))
     common.free(hits)
     return found, each
 
@@ -347,7 +365,7 @@ def remove(docs: DataFrame) -> DataFrame:
     anchor by anchor; a run of one period is dealt out by place. Extra columns aren't read. An empty table gives no rows.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    found, each = find(docs.select("doc_id", "text"))
+    found, each = find(docs.select("doc_id", "text"), places=False)
     spans = common.saved(removable(found))
     common.free(found)
     copy = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))

@@ -144,6 +144,16 @@ def brute_groups(texts):
     return out
 
 
+def test_covered_runs_are_the_union_of_their_spans():
+    r = np.random.default_rng(5)
+    doc, start, length = r.integers(0, 4, 60), r.integers(0, 300, 60), r.integers(1, 30, 60)
+    bytes_ = {(d, i) for d, a, n in zip(doc, start, length, strict=True) for i in range(a, a + n)}
+    runs = list(zip(*(c.tolist() for c in repeats.covered(doc, start, length)), strict=True))
+    assert sorted(x for d, a, n in runs for x in ((d, i) for i in range(a, a + n))) == sorted(bytes_)
+    assert all((d, a - 1) not in bytes_ and (d, a + n) not in bytes_ for d, a, n in runs)
+    assert not len(repeats.covered(*[np.zeros(0, np.int64)] * 3)[0])
+
+
 def test_repeat_groups(spark):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choices("abcdefghij ", k=n))
