@@ -165,16 +165,22 @@ def first_windows(doc: np.ndarray, at: np.ndarray, count: np.ndarray, text: np.n
     return a[fresh].view(np.int64), b[fresh].view(np.int64), d[fresh], p[fresh]
 
 
-def parts(batch, most: int = 4_000_000) -> Iterator:
-    """An Arrow batch with a column `raw` in slices of about so many bytes, with the bytes laid end to end and the edges of its rows."""
+def slices(batch, most: int = 4_000_000) -> Iterator:
+    """An Arrow batch with a column `raw` in slices of about so many bytes."""
     import pyarrow.compute as pc
 
     size = pc.fill_null(pc.binary_length(batch.column("raw")), 0).to_numpy().astype(np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1).tolist(), batch.num_rows]
     for a, z in zip(cuts, cuts[1:], strict=False):
         if z > a:
-            data = b"".join(x for x in batch.column("raw").slice(a, z - a).to_pylist() if x)
-            yield batch.slice(a, z - a), np.frombuffer(data, np.uint8), np.append(0, np.cumsum(size[a:z]))
+            yield batch.slice(a, z - a)
+
+
+def parts(batch) -> Iterator:
+    """slices() with the bytes laid end to end and the edges of its rows."""
+    for part in slices(batch):
+        rows = [x or b"" for x in part.column("raw").to_pylist()]
+        yield part, np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
@@ -220,7 +226,7 @@ def segments(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, SEGMENT)
 
 
-def solved(cut: DataFrame, most_bytes: int = 1 << 21, *, places: bool = True) -> DataFrame:
+def solved(cut: DataFrame, most_bytes: int = 1 << 20, *, places: bool = True) -> DataFrame:
     """From segments: kind 0, an occurrence (doc, start, stop) of the maximal repeat group_id, length bytes long, kind 1 if it is its first
     (with c1, a hash of the places of all relative to the first, and c2, how many they are); kind 2, the first occurrence of a window (c1, c2) within
     one part of an anchor that is dealt out in several. Without `places`, kind 0 is a run (doc, start, stop) that repeats of one task cover
@@ -382,16 +388,17 @@ def remove(docs: DataFrame) -> DataFrame:
 
         run = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
-            runs, kept = [], []
-            for raw, spans in zip(batch.column("raw"), batch.column("spans").to_pylist(), strict=True):
-                data, at, parts = raw.as_py(), 0, []
-                runs.append(merged(spans))
-                for a, z in runs[-1]:
-                    parts.append(data[at:a])
-                    at = z
-                kept.append(b"".join([*parts, data[at:]]) if parts else data)
-            rows = [[{"start": a, "stop": z} for a, z in r] for r in runs]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), pa.array(rows, run), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            for part in slices(batch):
+                runs, kept = [], []
+                for raw, spans in zip(part.column("raw"), part.column("spans").to_pylist(), strict=True):
+                    data, at, parts = raw.as_py(), 0, []
+                    runs.append(merged(spans))
+                    for a, z in runs[-1]:
+                        parts.append(data[at:a])
+                        at = z
+                    kept.append(b"".join([*parts, data[at:]]) if parts else data)
+                rows = [[{"start": a, "stop": z} for a, z in r] for r in runs]
+                yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), pa.array(rows, run), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     both = both.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), raw.alias("raw"), "spans")
     return both.mapInArrow(work, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
