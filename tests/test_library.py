@@ -75,3 +75,13 @@ def test_verify_sees_a_change(spark):
     digests = structure.row_digest(x)
     assert structure.verify(x, digests).first()[0]
     assert not structure.verify(x.withColumn("value", F.col("value") + 1), digests).first()[0]
+
+
+def test_dense_cells_shuffle_rows_not_cells(spark):
+    x = spark.createDataFrame([(1, 2, 5.0, "a"), (1, 2, 6.0, "b"), (1, 9, 1.0, "a"), (3, 4, None, "a"), (8, 2, 7.0, "a")], "row_id long, col_id long, value double, k string")
+    columns = spark.createDataFrame([(2,), (4,), (2,)], "col_id long")
+    dense = structure.dense_cells(x, spark.range(4).withColumnRenamed("id", "row_id"), columns)
+    assert sorted(map(tuple, dense.collect())) == [(r, c, {(1, 2): 6.0}.get((r, c), 0.0)) for r in range(4) for c in (2, 4)]
+    plan = dense._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # zeros are made above all joins
+    assert structure.dense_cells(x, spark.range(4).withColumnRenamed("id", "row_id"), columns.limit(0)).count() == 0
