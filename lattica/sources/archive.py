@@ -50,11 +50,13 @@ def moved(df: DataFrame, perm: DataFrame, *columns: str) -> DataFrame:
 def write(
     spark: SparkSession, path: str, m: Matrix, *, group_by: str | None = None, reference=None, sort_within_group: Sequence[str] = (), sort_order: str | None = None, codec: str | None = None,
     data_dtype: str | None = None, target_bytes: int = 1 << 30, min_bytes: int | None = None, max_bytes: int | None = None, unique: bool = True, checksum: bool = True, overwrite: bool = False,
+    entry_bytes: int | None = None,
 ) -> Archive:
     """Writes a matrix in its layout. What it is told and what it holds is checked before anything is written.
 
     Counts that aren't whole, or negative ones, make a fractional source fall back to float; nothing else does. A grouped layout has the
-    reference first and whole groups in a shard; an ungrouped one keeps the order of the input and is cut evenly.
+    reference first and whole groups in a shard; an ungrouped one keeps the order of the input and is cut evenly. Shards are sized by
+    `entry_bytes` an entry; by default that follows from the values and the number of columns.
     """
     layout.check_sort(group_by, list(sort_within_group), sort_order)
     layout.size_band(target_bytes, least=min_bytes, most=max_bytes)
@@ -82,7 +84,7 @@ def write(
     entries["x"] = runtime.saved(dtypes.cast_values(entries["x"], m.value_dtype, value))
     nnz = runtime.saved(structure.row_nnz(entries["x"], placed).join(placed.select("row_id", "label"), "row_id"))
     total = nnz.agg(F.coalesce(F.sum("nnz"), F.lit(0))).first()[0]
-    each = dtypes.bytes_per_entry(minimal, n_vars)
+    each = entry_bytes or dtypes.bytes_per_entry(minimal, n_vars)
     if group_by is None:
         bounds = layout.split_even(spark.range(1).select(F.lit(n_obs).alias("n")), layout.shard_count(total, each, target_bytes, n_obs))
         members = spans.select("label", "ord", F.lit(0).cast("long").alias("shard"))

@@ -27,3 +27,17 @@ def test_query(spark, name):
     assert sorted(got.columns) == sorted(columns)
     rows = [tuple(r) for r in got.select(*columns).collect()]
     assert sorted(map(repr, rows)) == sorted(map(repr, want))
+
+
+def test_stored_shards_with_many_columns(spark, tmp_path):
+    """Columns beyond 16 bits leave the size of an entry as it is in the query."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"COPY (SELECT * FROM '{SF}/{t}.parquet') TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT p.* REPLACE (i AS p_partkey) FROM (SELECT * FROM '{SF}/part.parquet' LIMIT 1) p, range(70000) g(i)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    for name in ("stored_shards", "read_shard"):
+        for t in TABLES:
+            con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+        cur = con.execute(registry.ORACLES[name])
+        columns, want = [c[0] for c in cur.description], cur.fetchall()
+        assert sorted(map(repr, map(tuple, registry.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()))) == sorted(map(repr, want))
