@@ -50,25 +50,23 @@ def moved(df: DataFrame, perm: DataFrame, *columns: str) -> DataFrame:
 def write(
     spark: SparkSession, path: str, m: Matrix, *, group_by: str | None = None, reference=None, sort_within_group: Sequence[str] = (), sort_order: str | None = None, codec: str | None = None,
     data_dtype: str | None = None, target_bytes: int = 1 << 30, min_bytes: int | None = None, max_bytes: int | None = None, unique: bool = True, checksum: bool = True, overwrite: bool = False,
-    entry_bytes: int | None = None,
+    entry_bytes: int | None = None, layout_only: Sequence[str] = (),
 ) -> Archive:
     """Writes a matrix in its layout. What it is told and what it holds is checked before anything is written.
 
     Counts that aren't whole, or negative ones, make a fractional source fall back to float; nothing else does. A grouped layout has the
     reference first and whole groups in a shard; an ungrouped one keeps the order of the input and is cut evenly. Shards are sized by
-    `entry_bytes` an entry; by default that follows from the values and the number of columns.
+    `entry_bytes` an entry; by default that follows from the values and the number of columns. Columns of obs in `layout_only` aren't kept.
+
+    The entries are brought into their layout once, a row's as one array; checks, shards, digests and the table of entries are read from
+    that without another shuffle.
     """
     layout.check_sort(group_by, list(sort_within_group), sort_order)
     layout.size_band(target_bytes, least=min_bytes, most=max_bytes)
     if reference is not None and group_by is None:
         raise ValueError("a reference needs group_by")
     m = dataclasses.replace(m, obs=m.obs.drop(*{"label", "role"} - {group_by}))  # of an earlier layout
-    x, n_vars = m.families["x"], m.var.count()
-    structure.check_entries(x, n_vars, unique=unique)
-    stats = runtime.saved(dtypes.value_stats(x))
-    codec = dtypes.decide_codec(dtypes.count_faults(stats).first()[0], m.value_dtype, codec)
-    minimal = dtypes.min_dtype(stats).first()[0]
-    value = dtypes.float_width(m.value_dtype, data_dtype) if codec == "float" else data_dtype or (minimal if minimal in ("uint16", "uint32") else "uint16")
+    n_vars = m.var.count()
     if group_by is None:
         placed = m.obs.select("*", F.lit(layout.MISSING).alias("label"), F.lit("group").alias("role"), F.col("row_id").alias("_was"))
         spans = placed.limit(0).select(F.lit(0).cast("long").alias("ord"), "label", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), "role")
@@ -78,11 +76,25 @@ def write(
         placed = layout.storage_order(obs, label=group_by, position="_was", secondary=list(sort_within_group), sort_order=sort_order or "natural").drop("is_ref")
         spans = layout.group_spans(placed)
     placed = runtime.saved(placed)
-    perm = placed.select(F.col("_was").alias("was"), "row_id")
+    spans = runtime.saved(spans)
+    perm = placed.select(F.col("_was").alias("was"), "row_id", "label")
     n_obs = placed.count()
-    entries = {k: moved(df, perm, "row_id") for k, df in m.families.items()}
-    entries["x"] = runtime.saved(dtypes.cast_values(entries["x"], m.value_dtype, value))
-    nnz = runtime.saved(structure.row_nnz(entries["x"], placed).join(placed.select("row_id", "label"), "row_id"))
+    laid = runtime.saved(structure.in_layout(structure.row_cells(m.families["x"]).withColumnRenamed("row_id", "was").join(perm, "was", "full_outer")))
+    given = structure.cells_of(laid.withColumn("row_id", F.col("was")), m.families["x"].columns)
+    structure.check_entries(given, n_vars, unique=False)
+    if unique:
+        twice = laid.where(F.size(F.array_distinct("cells.col_id")) < F.size("cells"))
+        structure.check_entries(structure.cells_of(twice.withColumn("row_id", F.col("was")), m.families["x"].columns), n_vars)
+    stats = runtime.saved(dtypes.value_stats(given))
+    codec = dtypes.decide_codec(dtypes.count_faults(stats).first()[0], m.value_dtype, codec)
+    minimal = dtypes.min_dtype(stats).first()[0]
+    value = dtypes.float_width(m.value_dtype, data_dtype) if codec == "float" else data_dtype or (minimal if minimal in ("uint16", "uint32") else "uint16")
+    rows = laid.where("row_id is not null")
+    entries = {"x": dtypes.cast_values(structure.cells_of(rows, m.families["x"].columns), m.value_dtype, value)}
+    for k, df in m.families.items():
+        if k != "x":
+            entries[k] = structure.cells_of(structure.in_layout(structure.row_cells(df).withColumnRenamed("row_id", "was").join(perm, "was")), df.columns)
+    nnz = rows.select("row_id", "label", F.when(F.col("cells").isNull(), 0).otherwise(F.size("cells")).cast("long").alias("nnz"))
     total = nnz.agg(F.coalesce(F.sum("nnz"), F.lit(0))).first()[0]
     each = entry_bytes or dtypes.bytes_per_entry(minimal, n_vars)
     if group_by is None:
@@ -93,10 +105,10 @@ def write(
         bounds = layout.shard_bounds(members, spans)
     sized = layout.shard_of_rows(nnz.select("row_id", "nnz"), bounds).groupBy("shard").agg(F.sum("nnz").cast("long").alias("nnz"))
     shards = bounds.join(sized, "shard", "left").select("shard", "row_start", "row_stop", F.coalesce("nnz", F.lit(0).cast("long")).alias("nnz"))
-    tables = {"obs": placed.drop("_was", *(("label", "role") if group_by is None else ())), "var": m.var, "groups": spans, "members": members, "shards": shards.withColumn("bytes", F.col("nnz") * each)}
+    tables = {"obs": placed.drop("_was", *layout_only, *(("label", "role") if group_by is None else ())), "var": m.var, "groups": spans, "members": members, "shards": shards.withColumn("bytes", F.col("nnz") * each)}
     tables |= {combine.family_folder(k): df for k, df in entries.items()}
     if checksum:
-        tables["digests"] = structure.row_digest(entries["x"])
+        tables["digests"] = rows.where("cells is not null").select("row_id", structure.digest_of("cells", dtypes.SPARK[value]).alias("sha256"))
     for kind, key, df in m.parts():
         tables[f"{kind}.{key}"] = moved(df, perm, *{"obsm": ("row_id",), "obsp": ("src", "dst")}.get(kind, ()))
     about = {
@@ -104,7 +116,9 @@ def write(
         "reference": sorted(r[0] for r in spans.where("role = 'reference'").select("label").collect()), "sort_within_group": list(sort_within_group), "sort_order": sort_order,
         "families": list(m.families), "uns": m.uns, "checksum": checksum,
     }
-    store.write(spark, path, tables, overwrite=overwrite, about=about)
+    # what is in the order of rows already; placed is, where numbered() made it
+    as_it_is = {"digests", *map(combine.family_folder, entries), *(("obs",) if group_by is not None else ())}
+    store.write(spark, path, tables, overwrite=overwrite, about=about, as_it_is=as_it_is)
     return Archive(spark, path)
 
 
@@ -381,6 +395,4 @@ def concat(spark: SparkSession, parts: Sequence[Archive], path: str, *, annotati
                 getattr(m, kind)[key] = first.part(kind, key)
     elif annotations != "drop":
         raise ValueError("annotations are preserved or dropped")
-    out = write(spark, path, m, codec=abouts[0]["codec"], overwrite=overwrite, **options)
-    out.data.update("obs", out.obs().drop("_ref"), key="row_id")
-    return Archive(spark, path)
+    return write(spark, path, m, codec=abouts[0]["codec"], overwrite=overwrite, layout_only=["_ref"], **options)

@@ -57,10 +57,10 @@ class Dataset:
             raise KeyError(f"no table {name!r}; there are {sorted(tables)}")
         return self.spark.read.parquet(f"{self.path}/{tables[name]}")
 
-    def put(self, df: DataFrame, name: str) -> str:
-        """Writes a table to a fresh folder, which no version names yet. With a row_id it is range-partitioned and sorted by it."""
+    def put(self, df: DataFrame, name: str, as_it_is: bool = False) -> str:
+        """Writes a table to a fresh folder, which no version names yet. With a row_id it is range-partitioned and sorted by it, unless it is so already."""
         folder = f"{name}-{uuid.uuid4().hex}"
-        if "row_id" in df.columns:
+        if "row_id" in df.columns and not as_it_is:
             df = df.repartitionByRange("row_id").sortWithinPartitions("row_id", *[c for c in ("col_id",) if c in df.columns])
         df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
         return folder
@@ -107,15 +107,15 @@ class Lock:
         self.dataset.fs.delete(_at(self.dataset.spark, self.file), False)
 
 
-def write(spark: SparkSession, path: str, tables: dict[str, DataFrame], *, overwrite: bool = False, about: dict | None = None) -> Dataset:
-    """Writes the tables as one version; `about` goes into the manifest."""
+def write(spark: SparkSession, path: str, tables: dict[str, DataFrame], *, overwrite: bool = False, about: dict | None = None, as_it_is: set[str] = frozenset()) -> Dataset:
+    """Writes the tables as one version; `about` goes into the manifest. Tables in `as_it_is` are in the order of rows already."""
     ds = Dataset(spark, path)
     with ds.lock():
         there = ds.exists()
         if there and not overwrite:
             raise DatasetExists(path)
         before = ds.manifest() if there else None
-        folders = {name: ds.put(df, name) for name, df in tables.items()}
+        folders = {name: ds.put(df, name, name in as_it_is) for name, df in tables.items()}
         ds.publish({"version": (before or {"version": 0})["version"] + 1, "tables": folders} | (about or {}), before)
     return ds
 

@@ -204,3 +204,22 @@ def test_families(spark):
     combine.check_aligned(obs, {"m": obs}, "name")
     with pytest.raises(IncompatibleSchema):
         combine.check_aligned(obs, {"m": obs.where("row_id > 0")}, "name")
+
+
+def test_entries_are_shuffled_once(spark, tmp_path):
+    """A writer's checks, shards and digests read entries that lie in their layout: what is shuffled doesn't grow with the number of checks."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    n, width = 300, 100
+    x = spark.range(n * width).select(F.floor(F.col("id") / width).alias("row_id"), (F.col("id") % width).alias("col_id"), (F.col("id") % 7 + 1).alias("value"))
+    obs = spark.range(n).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "ref").otherwise("a").alias("grp"))
+    m = archive.Matrix(obs, spark.range(width).select(F.col("id").alias("col_id")), {"x": x}, "int64")
+    before = shuffled()
+    a = archive.write(spark, str(tmp_path / "w"), m, group_by="grp", reference="ref", target_bytes=1 << 20)
+    assert sum(r for k, r in shuffled().items() if k not in before) < n * width
+    assert a.about["nnz"] == n * width and a.verify() and a.rows(100, 101).count() == width
