@@ -79,7 +79,8 @@ def write(
     spans = runtime.saved(spans)
     perm = placed.select(F.col("_was").alias("was"), "row_id", "label")
     n_obs = placed.count()
-    laid = runtime.saved(structure.in_layout(structure.row_cells(m.families["x"]).withColumnRenamed("row_id", "was").join(perm, "was", "full_outer")))
+    tasks = {k: structure.tasks_for(df) for k, df in m.families.items()}
+    laid = runtime.saved(structure.in_layout(structure.row_cells(m.families["x"], tasks["x"]).withColumnRenamed("row_id", "was").join(perm, "was", "full_outer"), tasks["x"]))
     given = structure.cells_of(laid.withColumn("row_id", F.col("was")), m.families["x"].columns)
     structure.check_entries(given, n_vars, unique=False)
     if unique:
@@ -93,7 +94,7 @@ def write(
     entries = {"x": dtypes.cast_values(structure.cells_of(rows, m.families["x"].columns), m.value_dtype, value)}
     for k, df in m.families.items():
         if k != "x":
-            entries[k] = structure.cells_of(structure.in_layout(structure.row_cells(df).withColumnRenamed("row_id", "was").join(perm, "was")), df.columns)
+            entries[k] = structure.cells_of(structure.in_layout(structure.row_cells(df, tasks[k]).withColumnRenamed("row_id", "was").join(perm, "was"), tasks[k]), df.columns)
     nnz = rows.select("row_id", "label", F.when(F.col("cells").isNull(), 0).otherwise(F.size("cells")).cast("long").alias("nnz"))
     total = nnz.agg(F.coalesce(F.sum("nnz"), F.lit(0))).first()[0]
     each = entry_bytes or dtypes.bytes_per_entry(minimal, n_vars)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lattica.errors import ColumnOutOfBounds, DatasetCorrupt, DatasetLocked, DuplicateEntries, IncompatibleSchema, LossyCast, NonIntegerCounts
 from lattica.functions import dtypes
-from lattica.operators import combine, layout, select
+from lattica.operators import combine, layout, select, structure
 from lattica.sources import archive, store
 from lattica.streaming import push
 
@@ -223,3 +223,14 @@ def test_entries_are_shuffled_once(spark, tmp_path):
     a = archive.write(spark, str(tmp_path / "w"), m, group_by="grp", reference="ref", target_bytes=1 << 20)
     assert sum(r for k, r in shuffled().items() if k not in before) < n * width
     assert a.about["nnz"] == n * width and a.verify() and a.rows(100, 101).count() == width
+
+
+def test_tasks_grow_with_entries(spark, tmp_path, monkeypatch):
+    """A task's rows are made from a bounded number of entries, whatever the session's number of partitions."""
+    monkeypatch.setattr(structure, "TASK_ENTRIES", 50)
+    x = spark.range(1000).select(F.floor(F.col("id") / 10).alias("row_id"), (F.col("id") % 10).alias("col_id"), F.lit(3).cast("long").alias("value"))
+    assert structure.tasks_for(x) == 20 and structure.tasks_for(x.limit(60)) is None
+    laid = structure.in_layout(structure.row_cells(x, 20), 20)
+    assert laid.rdd.getNumPartitions() == 20 and rows(structure.cells_of(laid, x.columns), *x.columns) == rows(x, *x.columns)
+    m = archive.Matrix(spark.range(100).select(F.col("id").alias("row_id")), spark.range(10).select(F.col("id").alias("col_id")), {"x": x}, "int64")
+    assert rows(archive.write(spark, str(tmp_path / "t"), m).family(), *x.columns) == rows(x, *x.columns)
