@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,10 +53,16 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def free(*tables: DataFrame) -> None:
-    """Removes saved() tables that nothing reads any more: what came of them is saved itself."""
+    """Removes saved() tables that nothing reads any more: what came of them is saved itself.
+
+    The collection has Spark remove the shuffles that led to them, which it does once the driver has dropped their plans.
+    """
     for df in tables:
         at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_at)
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def _marked(df: DataFrame, key: str, members: DataFrame, bits: int) -> DataFrame:

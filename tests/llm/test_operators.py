@@ -464,6 +464,25 @@ def test_line_prefix_pairs(spark):
     assert {r["node"]: r["root"] for r in components.components(more.union(rest)).collect()} == want
 
 
+def test_copies_changed_too_much_are_not_paired(spark):
+    """Lines made of one by the same few changes share their rare shingles, but most are under the similarity; those at or over it are all met."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    base, others = [word() for _ in range(30)], [word() for _ in range(5)]
+    lines = {}
+    for i in range(150):
+        lines[i] = list(base)
+        for k in rng.sample(range(30), 3):
+            lines[i][k] = rng.choice(others)
+    lines = {i: " ".join(x) for i, x in lines.items()}
+    sets = {i: {x[k : k + 8] for k in range(len(x) - 7)} for i, x in lines.items()}
+    alike = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    near = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame([(i, i, x) for i, x in lines.items()], "id long, root long, norm string")
+    got = {(r["a"], r["b"]) for r in line_dedup.prefix_pairs(line_dedup.prefixes(df, 0.8, 8), 0.8).collect()}
+    assert alike and alike <= got <= near
+
+
 def test_line_dedup_sees_every_character(spark):
     lines = ["https://www.alpha.org/x/one", "https://zeta.com/entirely/other", "https://zeta.com/entirely/other/", "你好世界再见朋友们今天天气很好", "你好世界再见朋友明天我们去爬山", "\U0001f600" * 9, "\U0001f601" * 9, "a\u2028bcdefghij", "a\u2028bcdefghik", "short", "shore"]
     shingles = [{n[k : k + 8] for k in range(max(1, len(n) - 7))} for n in lines]
