@@ -572,3 +572,34 @@ def test_mixing_meets_small_targets_in_order(spark):
         words[r["source"]][r["slot"] // 16] += len(r["text"].split())
     assert {s: w.total() for s, w in words.items()} == dict(taken)
     assert all(abs(words[s][q] - target[s] / 4) <= 0.15 * target[s] for s in "tu" for q in range(4))
+
+
+def test_lines_of_a_bucket_are_met_once_and_in_full(spark):
+    """A pair that shares several buckets is one row; of a family in one bucket no similar pair of different roots is lost, and most others are kept out."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    base = [word() for _ in range(30)]
+    lines = {i: " ".join(word() if k in rng.sample(range(30), rng.randrange(9)) else w for k, w in enumerate(base)) for i in range(60)}
+    sets = {i: {x[k : k + 8] for k in range(len(x) - 7)} for i, x in lines.items()}
+    alike = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    known = spark.createDataFrame([(i, x) for i, x in lines.items()], "id long, norm string")
+    keys = {i: [7, 8, 9] if i % 2 else [7, 9] for i in lines}
+    rows = spark.createDataFrame([(k, i, i // 2, keys[i]) for i in lines for k in keys[i]], "key long, id long, root long, keys array<long>")
+    got = [tuple(r) for r in line_dedup.bucket_pairs(rows.join(line_dedup.sketches(line_dedup.shingles(known, 8)), "id"), 0.8).collect()]
+    assert len(got) == len({(a, b) for a, b, _, _ in got}) and all((a // 2, b // 2) == (ra, rb) and ra != rb for a, b, ra, rb in got)
+    want = {(a, b) for a, b in alike if a // 2 != b // 2}
+    assert want and want <= {(a, b) for a, b, _, _ in got}
+    minima = line_dedup.banded(known.select("norm", *line_dedup.line_key(F.col("norm"))), 8)
+    assert minima.count() == len(set(lines.values()))
+
+
+def test_line_bands_are_minima_over_every_shingle(spark):
+    """Whatever their number, the last and the one of a short line too."""
+    text = "".join(random.Random(3).choices("abcdefgh ", k=60)).strip()
+    known = spark.createDataFrame([(text[:n],) for n in (1, 7, 8, 9, 23, 24, 25, 40, 55)], "norm string").withColumn("norm", F.trim("norm"))
+    got = {tuple(r["keys"]) for r in line_dedup.banded(known.select("norm", *line_dedup.line_key(F.col("norm"))), 8).collect()}
+    one = known.select("norm", F.explode(F.sequence(F.lit(1), F.greatest(F.length("norm") - 7, F.lit(1)))).alias("at"))
+    one = one.select("norm", F.hash(F.encode(F.substring("norm", F.col("at"), F.lit(8)), "UTF-32")).alias("h"))
+    low = one.groupBy("norm").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(line_dedup.POINTS)])
+    want = low.select(F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * line_dedup.ROWS + r}") for r in range(line_dedup.ROWS)]) for b in range(line_dedup.BANDS)]).alias("keys"))
+    assert got == {tuple(r["keys"]) for r in want.collect()} and len(got) > 5
