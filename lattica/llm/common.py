@@ -42,11 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, **options: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out

@@ -603,3 +603,33 @@ def test_line_bands_are_minima_over_every_shingle(spark):
     low = one.groupBy("norm").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{k}") for k, p in enumerate(line_dedup.POINTS)])
     want = low.select(F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * line_dedup.ROWS + r}") for r in range(line_dedup.ROWS)]) for b in range(line_dedup.BANDS)]).alias("keys"))
     assert got == {tuple(r["keys"]) for r in want.collect()} and len(got) > 5
+
+
+def test_lines_that_share_no_first_band_meet_across_them(spark):
+    """Two lines of one family whose first bands all differ, in a bucket with others: their pair is found by the bands across."""
+    assert line_dedup.TRIPLES[: line_dedup.BANDS] == [[b * line_dedup.ROWS + r for r in range(line_dedup.ROWS)] for b in range(line_dedup.BANDS)]
+    assert all(len({k // line_dedup.ROWS for k in t}) == line_dedup.ROWS for t in line_dedup.TRIPLES[line_dedup.BANDS :])
+    one, other = list(range(18)), list(range(18))
+    for b in range(line_dedup.BANDS):  # a minimum of each first band differs, none of the first band across does
+        other[next(k for k in line_dedup.TRIPLES[b] if k not in line_dedup.TRIPLES[line_dedup.BANDS])] += 100
+    df = spark.createDataFrame([(1, one), (2, other)], "id long, minima array<int>")
+    a, b = (set(r["keys"]) for r in df.select("id", line_dedup.band_keys(F.col("minima"), slice(None)).alias("keys")).orderBy("id").collect())
+    first = [set(r["keys"]) for r in df.select("id", line_dedup.band_keys(F.col("minima"), slice(line_dedup.BANDS)).alias("keys")).collect()]
+    assert not first[0] & first[1] and a & b
+
+
+def test_line_dedup_of_rows_once_and_often(spark):
+    """Lines that are there once, several times, and like another one, in buckets of all sizes, against brute force."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(30)]
+    texts = [" ".join(word() if k < i % 9 else w for k, w in enumerate(base)) for i in range(30)] + [word() for _ in range(20)]
+    texts += [texts[0], texts[31], texts[31], " ".join(base[:-1])]
+    sets = [{x[k : k + 8] for k in range(max(1, len(x) - 7))} for x in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            root[a] = min(root[b] for b in range(len(texts)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["keep_doc"], r["kept"]) for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {(i, r, i == r) for i, r in enumerate(root)}
