@@ -85,3 +85,18 @@ def test_dense_cells_shuffle_rows_not_cells(spark):
     plan = dense._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")  # zeros are made above all joins
     assert structure.dense_cells(x, spark.range(4).withColumnRenamed("id", "row_id"), columns.limit(0)).count() == 0
+
+
+def test_dense_cells_leave_other_columns_unshuffled(spark):
+    x = spark.createDataFrame([(1, 2, 5.0, "a"), (1, 9, 1.0, "a"), (3, 4, 2.0, "a"), (3, 4, 3.0, "b")], "row_id long, col_id long, value double, k string")
+    columns = spark.createDataFrame([(2,), (4,)], "col_id long")
+    key, was = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")  # as where the tables that columns come from are taken to be too large
+    try:
+        dense = structure.dense_cells(x, spark.range(4).withColumnRenamed("id", "row_id"), columns)
+        plan = dense._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, dense.collect())) == [(r, c, {(1, 2): 5.0, (3, 4): 3.0}.get((r, c), 0.0)) for r in range(4) for c in (2, 4)]
+    finally:
+        spark.conf.set(key, was)
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert len(semi) == 1 and "BroadcastHashJoin" in semi[0] and "hashpartitioning(col_id" not in plan
