@@ -100,3 +100,26 @@ def test_dense_cells_leave_other_columns_unshuffled(spark):
         spark.conf.set(key, was)
     semi = [line for line in plan.splitlines() if "LeftSemi" in line]
     assert len(semi) == 1 and "BroadcastHashJoin" in semi[0] and "hashpartitioning(col_id" not in plan
+
+
+def test_dense_cells_take_little_room_and_many_tasks(spark, tmp_path):
+    x = spark.createDataFrame([(r, c, 1.0 + r, "a") for r in (0, 7, 999) for c in (0, 5, 5999)], "row_id long, col_id long, value double, k string")
+    dense = structure.dense_cells(x, spark.range(1000).withColumnRenamed("id", "row_id"), spark.range(6000).withColumnRenamed("id", "col_id"))
+    dense.write.parquet(path := str(tmp_path / "dense"))
+    files = list((tmp_path / "dense").glob("*.parquet"))
+    assert sum(f.stat().st_size for f in files) < 6_000_000 // 4  # of 6 million cells
+    assert len(files) > 1  # though the rows that are shuffled would fit in one task
+    back = spark.read.parquet(path)
+    assert back.count() == back.distinct().count() == 6_000_000
+    assert sorted(map(tuple, back.where("value <> 0").collect())) == [(r, c, 1.0 + r) for r in (0, 7, 999) for c in (0, 5, 5999)]
+
+
+def test_dense_cells_of_odd_rows(spark):
+    x = spark.createDataFrame([(-3, 1, 4.0, "a"), (None, 1, 5.0, "a"), (700, 2, 6.0, "b"), (700, 2, None, "c"), (700, 2, 8.0, None), (9, 1, 1.0, "a")], "row_id int, col_id int, value double, k string")
+    order = spark.createDataFrame([(-3,), (700,), (700,), (None,), (2**40,)], "row_id long")
+    columns = spark.createDataFrame([(1,), (2,), (1,)], "col_id long")
+    dense = structure.dense_cells(x, order, columns)
+    assert [f.dataType.simpleString() for f in dense.schema] == ["bigint", "int", "double"]
+    cells = {(-3, 1): 4.0}  # of a cell without a value, none; of rows without an id, none
+    expected = [(r, c, cells.get((r, c), 0.0)) for r in (-3, 700, 700, None, 2**40) for c in (1, 2)]
+    assert sorted(map(tuple, dense.collect()), key=str) == sorted(expected, key=str)
